@@ -52,20 +52,32 @@ class PieceModel:
     def __init__(self, pieces: dict[str, int], languages: list[str], probabilities: np.ndarray):
         self.pieces, self.languages, self.p = pieces, languages, probabilities
         self.longest = max(map(len, pieces), default=1)
+        # each piece's number, and -1 for what only begins one
+        self.starts = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | pieces
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """Piece numbers [word, end, length-1] for words of equal length; -1 where there is no piece."""
-        n, unknown, get = len(words[0]), len(self.pieces), self.pieces.get
+        n, unknown, get = len(words[0]), len(self.pieces), self.starts.get
         k = min(n, self.longest)
         out = np.full((len(words), n + 1, k), -1, dtype=np.int32)
-        for row, w in zip(out, words):
-            for end in range(1, n + 1):
-                cell = row[end]
-                cell[0] = get(w[end - 1], unknown)
-                for size in range(2, min(end, k) + 1):
-                    piece = get(w[end - size : end])
-                    if piece is not None:
-                        cell[size - 1] = piece
+        at, pieces, row = [], [], (n + 1) * k
+        for base, w in zip(range(0, len(words) * row, row), words):
+            for start in range(n):
+                cell = base + (start + 1) * k
+                single = get(w[start])
+                at.append(cell)
+                pieces.append(unknown if single is None or single < 0 else single)
+                if single is None:
+                    continue
+                for stop in range(start + 2, min(n, start + k) + 1):
+                    cell += k + 1
+                    piece = get(w[start:stop])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        at.append(cell)
+                        pieces.append(piece)
+        out.reshape(-1)[at] = pieces
         return out
 
     def score(self, words: list[str]) -> np.ndarray:
@@ -74,24 +86,31 @@ class PieceModel:
         by_length = defaultdict(list)
         for i, w in enumerate(words):
             by_length[len(w) + 1].append(i)
-        p = np.vstack([self.p, np.zeros(len(self.languages))])
         for n, members in by_length.items():
-            step = max(1, 200_000 // n)
+            step = max(1, 100_000 // n)
             for at in range(0, len(members), step):
                 part = members[at : at + step]
-                cells = self.lattice([_START + words[i] for i in part])
-                k = cells.shape[2]
-                # the last k forward values, relative to the newest one, whose logarithm is in total
-                window = np.zeros((k, len(part), p.shape[1]))
-                window[0] = 1.0
-                total = np.zeros((len(part), p.shape[1]))
-                for end in range(1, n + 1):
-                    now = np.einsum("kwl,wkl->wl", window, p[cells[:, end, :]])
-                    total += np.log(now)
-                    window = np.concatenate([np.ones((1, *now.shape)), window[:-1] / now])
-                out[part] = total
+                out[part] = self._forward(self.lattice([_START + words[i] for i in part]))
         return out
 
+    def _forward(self, cells: np.ndarray) -> np.ndarray:
+        words, ends, k = cells.shape
+        forward = np.zeros((ends, words, len(self.languages)))
+        forward[0] = 1.0
+        total = np.zeros(forward.shape[1:])
+        for end in range(1, ends):
+            now = forward[end]
+            for size in range(1, min(end, k) + 1):
+                piece = cells[:, end, size - 1]
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    now[hit] += forward[end - size, hit] * self.p[piece[hit]]
+            if end % 16 == 0:  # before the products vanish: all later values become relative to this one
+                total += np.log(now)
+                forward[max(0, end - k) : end] /= now
+                now[:] = 1.0
+        return total + np.log(forward[-1])
+
     def posterior(self, loglik: np.ndarray) -> np.ndarray:
         w = np.exp(loglik - loglik.max())
         return w / w.sum()

@@ -1,7 +1,8 @@
 """Best-fit sequence packing planned over the histogram of lengths.
 
-Documents are tokenised once (byte-level BPE of a fixed public vocabulary, then id 0); longer ones are cut into pieces of
-the capacity, the first one shorter.  Best-fit decreasing then runs over the *counts* of the at most ``capacity``
+Documents are tokenised once, by the byte-level BPE of a fixed public vocabulary in its rank form (which gives the ids of
+the ``tokenizers`` file of the same name; strings of special tokens are ordinary text), then id 0.  Longer ones are cut
+into pieces of the capacity, the first one shorter.  Best-fit decreasing then runs over the *counts* of the at most ``capacity``
 different lengths: sequences with equal contents are one group, so the work and the plan depend on the capacity and not
 on the number of documents.  The pieces take their planned slots by joining on their rank within their length; ranks are
 counted within salted parts of a length, so no length is gathered in one task.
@@ -12,53 +13,40 @@ is packed as such; pieces of equal length are ranked by doc_id, piece and checks
 
 from __future__ import annotations
 
+import base64
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize
 
-CAPACITY, TOKENIZER, END_ID = 2048, "byte_bpe_50k.json", 0
+CAPACITY, TOKENIZER, END_ID = 2048, "byte_bpe_50k.tiktoken", 0
 SALTS = 32
 #: A plan has a few rows a length; more than this and it isn't broadcast.
 BROADCAST_ROWS = 200_000
-_CACHED_PIECES = 400_000
-#: The byte-level split, with white space as Unicode defines it.
-_SPLIT = regex.compile(
-    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
-    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
 
 
 def encoder(path: str | None = None):
-    """Function giving a text's ids as little-endian unsigned 32-bit bytes.
+    """Function giving a text's ids as little-endian unsigned 32-bit bytes."""
+    import tiktoken
 
-    Byte-level BPE never merges across the split, so each distinct part is encoded once and kept.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
+    with open(path or public_tokenizers.path(TOKENIZER), "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    bpe = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> bytes:
-        parts = _SPLIT.findall(text)
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            if len(known) > _CACHED_PIECES:
-                known.clear()
-            new = list(set(parts).difference(known))
-            for x, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[x] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join([known[x] for x in parts])
+        ids = array("I", bpe.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     return encode
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +90,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     top = cur.groupBy("u").agg(F.min("v").alias("component"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return top.select(F.col("u").alias("id"), "component").unionByName(roots)
+
+
+def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Groups of rows with equal keys from batches sorted by them; a group may go on in the next batch."""
+    rest: list[pd.DataFrame] = []
+    last = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        values = [pdf[k].to_numpy() for k in keys]
+        change = np.zeros(len(pdf), dtype=bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(change), len(pdf)]
+        for start, stop in zip(cuts, cuts[1:]):
+            key = tuple(v[start] for v in values)
+            if last is not None and key != last:
+                yield last, rest[0] if len(rest) == 1 else pd.concat(rest)
+                rest = []
+            last = key
+            rest.append(pdf.iloc[start:stop])
+    if rest:
+        yield last, rest[0] if len(rest) == 1 else pd.concat(rest)

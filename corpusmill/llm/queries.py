@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing
+from . import chaining, chat, langid, minhash, mixing, nndescent, packing, toxicity, winnow
 from .common import read_table
 
 
@@ -19,16 +19,46 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.sql(
+        "SELECT conv_id, turn, role, text FROM VALUES (-7L, 0L, 'user', r'\\### Assistant: </turn> ok'), "
+        "(-7L, 1L, 'assistant', r'\\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)"
+    )
+    return chat.digest(chat.expand(turns.unionByName(extra)))
+
+
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edit_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = toxicity.classify(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "toxic", "p_toxic", "p_low_quality")
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mixing.replicate(docs).select("doc_id", "copy", "source", "lang", "n_chars", "text", "shuffle_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op6_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash, op2_language, op3_chat, op4_passages, op5_winnowing, op6_packing, op7_toxicity,
+    op8_embeddings, op10_mixing,
+)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,6 +77,27 @@ e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON
 r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(root) AS c FROM r GROUP BY id) c ON c.id = d.doc_id""",
+    "op3_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (SELECT *, length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))
+    + length(role || text) - length(replace(role || text, '\', '')) + length(role) - length(replace(role, chr(10), ''))
+    + (length(text) - length(replace(text, '<|', ''))) // 2 AS chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto, max(k) OVER (PARTITION BY conv_id) AS m FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  coalesce(sum(upto) FILTER (role = 'assistant' OR k = m), 0)::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id""",
+    "op8_embeddings": """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT d.vec_id, (SELECT count(*) FROM e WHERE e.a = d.vec_id) AS n_links, c.c AS component_id, d.vec_id = c.c AS kept
+FROM embeddings d JOIN (SELECT id, min(root) AS c FROM r GROUP BY id) c ON c.id = d.vec_id""",
     "op10_mixing": """
 WITH c AS (SELECT source, count(*) AS n FROM documents WHERE regexp_full_match(source, 'src1?[0-9]') GROUP BY source),
 rate AS (SELECT source, (SELECT sum(n) FROM c) / (SELECT count(*) FROM c) / n AS r FROM c),

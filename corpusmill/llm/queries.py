@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, chat, langid, minhash, mixing, nndescent, packing, toxicity, winnow
+from . import chaining, chat, langid, minhash, mixing, nndescent, packing, pii, toxicity, winnow
 from .common import read_table
 
 
@@ -50,6 +50,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mixing.replicate(docs).select("doc_id", "copy", "source", "lang", "n_chars", "text", "shuffle_key")
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash, op2_language, op3_chat, op4_passages, op5_winnowing, op6_packing, op7_toxicity,
-    op8_embeddings, op10_mixing,
+    op8_embeddings, op9_surrogates, op10_mixing,
 )}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -8,8 +8,8 @@ similarity at or above the threshold falls below ``MISS``.  Survivors are confir
 Only connectivity is wanted, so a bucket of m texts never yields m*m pairs: first each bucket links its members to one
 pivot (another one in each band), each text's most promising pair is confirmed first, and pairs inside a component
 found so far are skipped.  What is left in large buckets goes through an exact prefix filter: two texts with similarity
-t share a shingle among the (1-t) share of each that comes first in any common order; rare shingles come first, so texts
-that only share a frequent passage never meet.
+t share a shingle among the (1-t) share of each that comes first in any common order, and enough must follow the first
+one they share; rare shingles come first, so texts that only share a frequent passage never meet.
 
 Defined results: a null or empty text, or one of white space only, has no shingles and is linked with nothing (it is kept
 as its own component); rows with the same doc_id are one node and each is returned; a null doc_id is returned with a null
@@ -159,12 +159,13 @@ def _prefixes(percent: int, sketch):
     def run(batches):
         frequency = sketch.value
         for pdf in batches:
-            ids, comps, sizes, out = [], [], [], []
+            ids, comps, sizes, places, out = [], [], [], [], []
             for i, comp, s in zip(pdf["doc_id"], pdf["component"], pdf["shingles"]):
                 s = np.frombuffer(s, dtype=np.uint64)
                 keep = len(s) - -(-percent * len(s) // 100) + 1
                 first = s[np.lexsort((s, frequency[s % np.uint64(SKETCH)]))[:keep]]
                 out.append(first)
+                places.append(np.arange(len(first)))
                 for to, v in ((ids, i), (comps, comp), (sizes, len(s))):
                     to.append(np.full(len(first), v))
             if out:
@@ -174,6 +175,7 @@ def _prefixes(percent: int, sketch):
                         "doc_id": np.concatenate(ids),
                         "component": np.concatenate(comps),
                         "n": np.concatenate(sizes),
+                        "at": np.concatenate(places),
                     }
                 )
 
@@ -233,7 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         )
     )
     known = base.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # tables of their own, so that the joins with them can split a hot class or bucket
+    classes = materialize(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     members = known.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"])
     members = materialize(members.select("doc_id", "rep").distinct())
     reps = known.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
@@ -242,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     pivots = rows.groupBy("band", "key").agg(
         F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("pivot")
     )
-    buckets = materialize(rows.join(pivots.where("size > 1"), ["band", "key"]))
+    buckets = materialize(rows.join(materialize(pivots.where("size > 1")), ["band", "key"]))
 
     ids = buckets.select("doc_id").distinct()
     texts = docs.join(ids, "doc_id", "left_semi").mapInPandas(_sets(k), "doc_id long, shingles binary")
@@ -276,11 +279,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     for slot, n in counted.toLocalIterator():
         frequency[slot] = n
     prefixes = hot.mapInPandas(
-        _prefixes(percent, spark.sparkContext.broadcast(frequency)), "shingle long, doc_id long, component long, n long"
+        _prefixes(percent, spark.sparkContext.broadcast(frequency)), "shingle long, doc_id long, component long, n long, at long"
     )
-    left, right = (prefixes.toDF("shingle", x, "c" + x, "n" + x) for x in "ab")
+    left, right = (prefixes.toDF("shingle", x, "c" + x, "n" + x, "at" + x) for x in "ab")
+    # the first common shingle has as many at or after it, in both texts, as a link needs in common
+    enough = F.expr(f"least(na - ata, nb - atb) * {100 + percent} >= {percent} * (na + nb)")
     met = left.join(right, "shingle").where("a < b and ca != cb")
-    met = met.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b")
+    met = met.where(enough).select("a", "b")
     link.add(link.confirmed(link.promising(pairs.unionByName(met).distinct()).select("a", "b")))
 
     comp = link.components.toDF("rep", "component")

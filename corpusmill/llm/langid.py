@@ -18,8 +18,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,15 +210,15 @@ def predictor(model: PieceModel):
     return run
 
 
-def _predict(shared):
+def _predict(shared, keep: list[str]):
     def run(batches):
         predict = predictor(shared.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), _DOCS_AT_ONCE):
-                part = pdf.iloc[at : at + _DOCS_AT_ONCE].copy()
-                got = predict(part["text"])
-                part["lang_pred"], part["score"] = [x for x, _ in got], [x for _, x in got]
-                yield part.drop(columns=part.columns.difference(run.keep))
+        for batch in batches:
+            for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
+                part = batch.slice(at, _DOCS_AT_ONCE)
+                got = predict(part.column("text").to_pylist())
+                new = [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], [*keep, "lang_pred", "score"])
 
     return run
 
@@ -227,8 +227,7 @@ def identify(docs: DataFrame, model: PieceModel | None = None, keep: list[str] |
     """``keep`` columns of ``docs`` plus lang_pred and score, a row for each row."""
     keep = ["doc_id"] if keep is None else keep
     model = model or train(docs)
-    run = _predict(docs.sparkSession.sparkContext.broadcast(model))
-    run.keep = [*keep, "lang_pred", "score"]
+    run = _predict(docs.sparkSession.sparkContext.broadcast(model), keep)
     need = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in need.select(*keep).schema)
-    return need.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return need.mapInArrow(run, f"{schema}, lang_pred string, score double")

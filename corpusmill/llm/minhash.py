@@ -93,6 +93,7 @@ def _describe(k: int):
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].to_numpy(),
+                        "no_id": part["no_id"].to_numpy(),
                         "n_shingles": [len(s) for s in sets],
                         "d1": pd.array(d1, dtype="Int64"),
                         "d2": pd.array(d2, dtype="Int64"),
@@ -229,11 +230,12 @@ class _Linker:
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(
-        docs.mapInPandas(
-            _describe(k), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
-        )
+    # pandas would turn ids beside a null into floats
+    marked = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    described = marked.mapInPandas(
+        _describe(k), "doc_id long, no_id boolean, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
     )
+    base = materialize(described.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id"))
     known = base.where("n_shingles > 0 and doc_id is not null")
     # tables of their own, so that the joins with them can split a hot class or bucket
     classes = materialize(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))

@@ -58,27 +58,28 @@ def _cut(capacity: int, path: str | None, with_ids: bool):
         encode = encoder(path)
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, no_id, text in zip(pdf["doc_id"], pdf["no_id"], pdf["text"]):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
                     stop = first if piece == 0 else start + capacity
                     part = ids[4 * start : 4 * stop]
-                    rows.append((doc, piece, start, stop - start, zlib.crc32(part), *([part] if with_ids else [])))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64")
-            yield out
+                    rows.append((doc, no_id, piece, start, stop - start, zlib.crc32(part), *([part] if with_ids else [])))
+            names = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): what is to be packed."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInPandas(_cut(capacity, path, with_ids), schema)
+    schema = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    doc_id = F.col("doc_id").cast("long")
+    # pandas would turn ids beside a null into floats
+    docs = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), "text")
+    pieces = docs.mapInPandas(_cut(capacity, path, with_ids), schema)
+    return pieces.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -18,8 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +121,7 @@ class _Stream:
 
 
 def _luhn(digits: str) -> int:
-    return sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(digits[::-1])) % 10
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(digits[::-1])) % 10
 
 
 def _like(c: str, s: _Stream, hexadecimal: bool = False) -> str:
@@ -232,10 +232,10 @@ def _rewrite(key: bytes, shared, schema_names: list[str]):
     def run(batches):
         known = shared.value if shared is not None else {}
         memo: dict[tuple[str, str], str] = {}
-        for pdf in batches:
-            own = pdf["__own"] if "__own" in pdf else [None] * len(pdf)
+        for batch in batches:
+            own = batch.column("__own").to_pylist() if "__own" in batch.schema.names else [None] * batch.num_rows
             texts, counts = [], []
-            for text, extra in zip(pdf["text"], own):
+            for text, extra in zip(batch.column("text").to_pylist(), own):
                 if text is None:
                     texts.append(None)
                     counts.append(0)
@@ -252,9 +252,8 @@ def _rewrite(key: bytes, shared, schema_names: list[str]):
                     at, n = stop, n + 1
                 texts.append("".join(out) + text[at:] if n else text)
                 counts.append(n)
-            pdf["text"] = texts
-            pdf["n_entities"] = np.array(counts, dtype=np.int64)
-            yield pdf[schema_names]
+            new = {"text": pa.array(texts, pa.string()), "n_entities": pa.array(counts, pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in schema_names], schema_names)
 
     return run
 
@@ -281,4 +280,4 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, broadcast_rows: int = BROADC
         pair = F.struct(F.concat_ws("\0", "kind", "canonical"), "surrogate")
         own = mentions.join(again, ["kind", "canonical"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(pair)).alias("__own"))
         rows = docs.join(own, "doc_id", "left")
-    return rows.mapInPandas(_rewrite(key, shared, names), schema)
+    return rows.mapInArrow(_rewrite(key, shared, names), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -60,7 +61,7 @@ class _Writer(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.out.append(" ".join(data.split()) if not data.strip() else data.replace("\n", " "))
+            self.out.append(re.sub(r"\s+", " ", data))
 
 
 def markdown_of(html: str | None) -> str:

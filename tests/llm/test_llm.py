@@ -166,6 +166,26 @@ def test_passage_edges(edge, none):
     assert chaining.repeated_passages(none).count() == 0
 
 
+def test_passages_whose_parts_occur_elsewhere(spark):
+    rows = []
+    for k in range(12):  # parts before, between and after the two that share the whole
+        one, two, at = text(f"one{k}", 30), text(f"two{k}", 30), 100 * k
+        own = [text(f"own{k}/{i}", 50) for i in range(6)]
+        parts = [one, two, f"{one} {two}", one, two, f"{one} {two}"]
+        rows += [(at + i, f"{own[i]} {part} {own[i][::-1]}") for i, part in enumerate(parts)]
+    far = [text(f"far{i}", 200) for i in range(2)]  # only the runs over the seam have the anchor with all
+    rows += [(5000, far[0]), (5001, far[1]), (5002, " ".join(far)), (5003, " ".join(far))]
+    words, first = {i: t.split() for i, t in rows}, {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - 39):
+            first.setdefault(tuple(words[i][j : j + 40]), i)
+    repeated = {(i, j + x) for i, w in words.items() for j in range(len(w) - 39) if first[tuple(w[j : j + 40])] < i for x in range(40)}
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(100 * k + 5, 100 * k + 2) for k in range(12)} <= {(r["doc_id"], r["match_doc_id"]) for r in got}
+    assert repeated <= {(r["doc_id"], x) for r in got for x in range(r["start_word"], r["end_word"])}
+    assert any((r["doc_id"], r["match_doc_id"], r["n_words"], r["identity"]) == (5003, 5002, 400, 1.0) for r in got)
+
+
 def test_winnowing(spark):
     rows = [(1, text(1, 50)), (2, text(2, 3)), (5, ""), (9, None), (7, text(1, 50)), (11, text(4, 400))]
     got = {r["doc_id"]: r for r in winnow.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -5,6 +5,9 @@ of their script and case, an address keeps its octets' widths, a card its checks
 its honorific.  A surrogate depends on the key, the type and the entity's canonical form (an e-mail address in lower
 case, the bare digits of a number, one token of a name), so every mention gets the same one whatever its punctuation: coreference is kept.
 
+A name is introduced by an honorific or a title; each further capitalised mention of one of its tokens in the same document,
+before or after, is rewritten too.  Names that no honorific or title introduces in the document stay.
+
 Distinctness is checked over the whole corpus: surrogates that two entities share, or that equal an entity of the
 corpus, are drawn again until none is left.  The few entities that needed another draw are the only ones to be looked up
 when texts are rewritten: broadcast while at most ``BROADCAST_ROWS``, joined by document beyond.
@@ -32,7 +35,9 @@ MAX_DRAWS = 50
 
 _MALE = "Mr Herr Herrn Monsieur Señor Don Signor Sir Г-н Господин Κύριος"
 _FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Doña Signora Г-жа Госпожа Κυρία"
-_HONORIFIC = {**dict.fromkeys(_MALE.split(), "m"), **dict.fromkeys(_FEMALE.split(), "f")}
+#: Titles that say nothing of gender.
+_TITLE = "Dr Prof Professor Professorin Doctor Doktor Docteur Professeur Dott Rev Д-р Доктор Профессор Δρ Καθηγητής"
+_HONORIFIC = dict.fromkeys(_TITLE.split(), "n") | {**dict.fromkeys(_MALE.split(), "m"), **dict.fromkeys(_FEMALE.split(), "f")}
 _GIVEN = {
     ("latin", "m"): "Adam Bruno Carlos David Emil Felix Hugo Ivan Jonas Karl Leo Marco Nils Oscar Paul Simon Tomas Viktor".split(),
     ("latin", "f"): "Alma Berta Clara Diana Elena Frida Greta Helena Ines Julia Klara Laura Maria Nora Olivia Paula Rosa Vera".split(),
@@ -50,6 +55,7 @@ _ENDS = {
     "latin": ("ner", "ley", "son", "berg"), "cyrillic": ("ов", "ин"), "cyrillic/f": ("ова", "ина"), "greek": ("ίδης", "όπουλος"), "greek/f": ("ίδου", "οπούλου"),
 }
 
+_TITLES = "|".join(sorted(_TITLE.split(), key=len, reverse=True))
 _NAME = r"(?:[^\W\d_]|['’-])+"
 _ENTITY = re.compile(
     "|".join(
@@ -62,11 +68,17 @@ _ENTITY = re.compile(
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             r"(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))",
-            rf"(?P<honorific>\b(?:{'|'.join(sorted(_HONORIFIC, key=len, reverse=True))})\b\.?) (?P<name>[^\W\d_a-zà-öø-ÿа-яё]{_NAME}(?: [^\W\d_a-zà-öø-ÿа-яё]{_NAME})?)",
+            r"(?P<ssn2>\b\d{3}[- ]?\d{2}[- ]?\d{4}\b)",
+            r"(?P<passport>\b[A-Z]\d{8}\b)",
+            r"(?P<address>\b\d{1,5} [A-Z][a-z]+ (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln)\b)",
+            rf"(?P<honorific>\b(?:{'|'.join(sorted(_HONORIFIC, key=len, reverse=True))})\b\.?)(?: (?:{_TITLES}|med|phil|jur|nat)\b\.?)* (?P<name>[^\W\d_a-zà-öø-ÿа-яё]{_NAME}(?: [^\W\d_a-zà-öø-ÿа-яё]{_NAME})?)",
         )
     )
 )
 _MAYBE = re.compile(rf"[\d@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:{'|'.join(_HONORIFIC)})\b")
+_WORD = re.compile(rf"[^\W\d_]{_NAME}|[^\W\d_]")
+_PART = re.compile(r"[^\W\d_]+")
+_POSSESSIVE = re.compile(r"(?:['’][sS]|['’-])+$")
 _BARE = re.compile(r"[^0-9A-Za-z]")
 
 
@@ -79,30 +91,58 @@ def _script(token: str) -> str:
     return "latin"
 
 
+def _mentions_of(names: dict[str, str], text: str, at: int, stop: int):
+    """Capitalised mentions of the tokens of ``names`` in a stretch without other entities."""
+    for m in _WORD.finditer(text, at, stop):
+        word = _POSSESSIVE.sub("", m[0])
+        found = [(m.start(), word)]
+        if word.lower() not in names:
+            found = [(m.start() + p.start(), p[0]) for p in _PART.finditer(word)] if word != _PART.match(word)[0] else []
+        for start, token in found:
+            if token.lower() in names and token[0] != token[0].lower():
+                yield start, start + len(token), names[token.lower()], token.lower()
+
+
 def entities(text: str):
     """(start, stop, kind, canonical form) in order; a name gives one for each of its tokens."""
     if not _MAYBE.search(text):
         return
+    found, names = [], {}
     for m in _ENTITY.finditer(text):
         kind = m.lastgroup
         start, stop = m.span(kind)
         raw = m[kind]
         if kind == "email":
-            yield start, stop, kind, raw.lower()
-        elif kind in ("card", "phone", "ssn", "iban"):
-            yield start, stop, kind, _BARE.sub("", raw)
+            found.append((start, stop, kind, raw.lower()))
+        elif kind in ("card", "phone", "ssn", "ssn2", "iban"):
+            found.append((start, stop, kind.rstrip("2"), _BARE.sub("", raw)))
         elif kind == "ip":
             if all(int(x) < 256 for x in raw.split(".")):
-                yield start, stop, kind, raw
+                found.append((start, stop, kind, raw))
         elif kind == "name":
             gender = _HONORIFIC[m["honorific"].rstrip(".")]
-            *given, surname = raw.split(" ")
+            *given, surname = (_POSSESSIVE.sub("", raw) or raw).split(" ")
             for token in given:
-                yield start, start + len(token), f"given/{gender}", token.lower()
+                found.append((start, start + len(token), f"given/{gender}", token.lower()))
                 start += len(token) + 1
-            yield start, stop, f"surname/{gender}" if _script(surname) != "latin" else "surname", surname.lower()
+            kind = f"surname/{gender}" if _script(surname) != "latin" else "surname"
+            found.append((start, start + len(surname), kind, surname.lower()))
+            for _, _, kind, token in found[-1 - len(given) :]:
+                # given names come first, and those with a gender before those without
+                names[token] = min(names.get(token, kind), kind)
         else:
-            yield start, stop, kind, raw
+            found.append((start, stop, kind, raw))
+    if not names:
+        yield from found
+        return
+    at = 0
+    for start, stop, kind, canonical in found:
+        yield from _mentions_of(names, text, at, start)
+        if kind.endswith("/n") or kind == "surname" and names.get(canonical, "").startswith("given"):
+            kind = names[canonical]
+        yield start, stop, kind, canonical
+        at = stop
+    yield from _mentions_of(names, text, at, len(text))
 
 
 class _Stream:
@@ -158,15 +198,19 @@ def surrogate(kind: str, canonical: str, key: bytes = KEY, draw: int = 0) -> str
     if base == "key":
         keep = re.match(r"AKIA|gh[pousr]_|sk-", canonical)[0]
         return keep + "".join(_like(c, s) for c in canonical[len(keep) :])
+    if base == "address":
+        number, name, street = canonical.split(" ")
+        return f"{1 + s.below(9)}{''.join(_like(c, s) for c in number[1:])} {''.join(_like(c, s) for c in name)} {street}"
     if base == "secret":
         hexadecimal = re.fullmatch(r"[0-9a-f]+", canonical) is not None
         return "".join(_like(c, s, hexadecimal) for c in canonical)
     script = _script(canonical)
     if base == "given":
-        names = _GIVEN[script, gender]
+        names = _GIVEN[script, gender] if gender != "n" else _GIVEN[script, "m"] + _GIVEN[script, "f"]
         # few names and many people: later draws add a syllable
-        extra = "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(draw))
-        return (names[s.below(len(names))] + extra).lower()
+        extra = "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(draw + (gender == "n")))
+        name = names[s.below(len(names))]
+        return (extra + name if gender == "n" else name + extra).lower()  # so that those without a gender differ from the others
     if base == "surname":
         syllables, ends = _SYLLABLES[script], _ENDS[script + "/f" if gender == "f" and script != "latin" else script]
         stem = "".join(syllables[s.below(len(syllables))] for _ in range(3 + draw // 4))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -325,6 +326,27 @@ def test_surrogates(spark, edge, none):
     assert pii.pseudonymise(none).count() == 0
 
 
+def test_surrogates_of_all_kinds_and_mentions(spark):
+    rows = [
+        (1, "Smith came. Mr John Smith said no; later Smith, SMITH's and John's friend met Blacksmith Jones."),
+        (2, "Dr. Anna Schmidt and Herr Prof. Dr. Weber; Anna left, Frau Anna Schmidt too."),
+        (3, "ids 123 45 6789 and 123456789 and 123-45-6789, passport C12345678, at 31 High Street today"),
+        (4, "Smith and Anna without a title"),
+    ]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one, two, three = (got[i]["text"] for i in (1, 2, 3))
+    words = re.findall(r"[^\W\d_]+", one)
+    assert not {"smith", "john"} & {w.lower() for w in words} and one.endswith("friend met Blacksmith Jones.") and got[1]["n_entities"] == 6
+    assert len({words[i].lower() for i in (0, 4, 8, 9)}) == 1 and words[3] == words[12] and words[9].isupper()
+    assert not {"Anna", "Schmidt", "Weber"} & set(re.findall(r"[^\W\d_]+", two)) and got[2]["n_entities"] == 6
+    words = re.findall(r"[^\W\d_]+", two)
+    assert words[1] == words[8] == words[11] in pii._GIVEN["latin", "f"] and words[2] == words[12]
+    assert "12345678" not in three and "123 45" not in three and "31 High" not in three and three.endswith(" Street today") and got[3]["n_entities"] == 5
+    digits = [re.sub(r"\D", "", x) for x in (three[4:15], three[20:29], three[34:45])]
+    assert len(set(digits)) == 1 and len(digits[0]) == 9
+    assert got[4]["text"] == rows[3][1] and got[4]["n_entities"] == 0
+
+
 def test_surrogates_stay_distinct(spark):
     ips = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]  # the space of their format is 6561
     docs = spark.createDataFrame([(i, f"at {ip} now") for i, ip in enumerate(ips)] * 2, "doc_id long, text string")

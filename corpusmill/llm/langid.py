@@ -5,7 +5,8 @@ word counts.  A word's likelihood is the sum over *all* its segmentations into p
 product over its words, so each distinct word is summed once and cached.
 
 The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` documents and at most ``SAMPLE_WORDS`` distinct words for
-each language, chosen by a hash of doc_id.  Its size is vocabulary x languages, at most ``MAX_LANGUAGES``.
+each language, chosen by a hash of doc_id.  Every language is learned; the model's size is vocabulary x languages, in
+32 bits beyond ``WIDE`` languages.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; so does every text when nothing could
 be learned.  Rows with a null doc_id are predicted but never learned from (held_out false).  Equal scores go to the
@@ -24,7 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES = 2000, 20_000, 64
+SAMPLE_DOCS, SAMPLE_WORDS = 2000, 20_000
+#: Languages up to which tables are 64 bits wide and working sizes fixed; beyond, those shrink as the languages grow.
+WIDE = 64
+#: Letters of a run that are learned from at once.
+RUN = 24
 EM_ROUNDS = 4
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -87,7 +92,7 @@ class PieceModel:
         for i, w in enumerate(words):
             by_length[len(w) + 1].append(i)
         for n, members in by_length.items():
-            step = max(1, 100_000 // n)
+            step = max(1, 100_000 * WIDE // (n * max(WIDE, len(self.languages))))
             for at in range(0, len(members), step):
                 part = members[at : at + step]
                 out[part] = self._forward(self.lattice([_START + words[i] for i in part]))
@@ -135,28 +140,39 @@ def _expectations(cells: np.ndarray, counts: np.ndarray, p: np.ndarray, out: np.
             np.add.at(out, cells[hit, e, s - 1], share[hit])
 
 
-def fit(word_counts: dict[str, dict[str, int]], pieces: dict[str, int]) -> PieceModel:
-    """EM from {language: {word: count}}; words of over 24 characters say nothing more and are left out."""
-    languages = sorted(word_counts)
-    helper = PieceModel(pieces, languages, np.empty((0, 0)))
-    table = np.full((len(pieces) + 1, len(languages)), _FLOOR)
-    for column, lang in enumerate(languages):
-        by_length = defaultdict(list)
-        for w, c in word_counts[lang].items():
-            if 0 < len(w) <= 24:
-                by_length[len(w)].append((w, c))
-        groups = [
-            (helper.lattice([_START + w for w, _ in g]), np.array([c for _, c in g], dtype=float))
-            for _, g in sorted(by_length.items())
-        ]
-        p = np.full(len(pieces) + 1, 1e-3)
-        for _ in range(EM_ROUNDS):
-            expected = np.zeros(len(pieces) + 1)
-            for cells, counts in groups:
-                _expectations(cells, counts, p, expected)
-            p = expected / max(expected.sum(), 1e-300) + _FLOOR
-        p[-1] = _FLOOR
-        table[:, column] = p
+def _fit_one(word_counts: dict[str, int], helper: PieceModel) -> np.ndarray:
+    """Piece probabilities of one language by EM from {word: count}; longer runs of letters are cut every ``RUN``."""
+    parts: dict[str, int] = defaultdict(int)
+    for w, c in word_counts.items():
+        for at in range(0, len(w), RUN):
+            parts[w[at : at + RUN] if at else _START + w[:RUN]] += c
+    by_length = defaultdict(list)
+    for w, c in parts.items():
+        by_length[len(w)].append((w, c))
+    groups = [(helper.lattice([w for w, _ in g]), np.array([c for _, c in g], dtype=float)) for _, g in sorted(by_length.items())]
+    n = len(helper.pieces) + 1
+    p = np.full(n, 1e-3)
+    for _ in range(EM_ROUNDS):
+        expected = np.zeros(n)
+        for cells, counts in groups:
+            _expectations(cells, counts, p, expected)
+        p = expected / max(expected.sum(), 1e-300) + _FLOOR
+    p[-1] = _FLOOR
+    return p
+
+
+def fit(word_counts, pieces: dict[str, int]) -> PieceModel:
+    """EM from (language, {word: count}) pairs, of which one is held at a time, or a dict of them."""
+    helper = PieceModel(pieces, [], np.empty((0, 0)))
+    columns: dict[str, np.ndarray] = {}
+    for lang, words in word_counts.items() if isinstance(word_counts, dict) else word_counts:
+        columns[lang] = _fit_one(words, helper)
+        if len(columns) > WIDE:
+            columns = {k: v.astype(np.float32, copy=False) for k, v in columns.items()}
+    languages = sorted(columns)
+    table = np.empty((len(pieces) + 1, len(languages)), dtype=np.float64 if len(languages) <= WIDE else np.float32)
+    for k, lang in enumerate(languages):
+        table[:, k] = columns.pop(lang)
     return PieceModel(pieces, languages, table)
 
 
@@ -167,20 +183,25 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, pieces: dict[str, int] | None = None) -> PieceModel:
     """Learn from rows that are not held out; only their text and non-null lang are used."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    word_counts: dict[str, dict[str, int]] = {}
-    if sizes:
-        share = F.create_map(*(F.lit(v) for r in sizes for v in (r["lang"], min(1.0, sample_docs / r["count"]))))
-        u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-        sample = usable.where(u < share[F.col("lang")])
-        words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != ''")
-        counts = words.groupBy("lang", "w").count().persist()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    pieces = pieces or load_pieces()
+    if not sizes:
+        return fit({}, pieces)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double")
+    u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    sample = usable.join(F.broadcast(shares), "lang").where(u < F.col("share"))
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != ''")
+    counts = words.groupBy("lang", "w").count().persist()
+
+    def top():
         for r in sizes:
-            top = counts.where(F.col("lang") == r["lang"]).orderBy(F.desc("count"), "w").limit(SAMPLE_WORDS)
-            if found := {x["w"]: x["count"] for x in top.collect()}:
-                word_counts[r["lang"]] = found
-        counts.unpersist()
-    return fit(word_counts, pieces or load_pieces())
+            rows = counts.where(F.col("lang") == r["lang"]).orderBy(F.desc("count"), "w").limit(SAMPLE_WORDS).collect()
+            if rows:
+                yield r["lang"], {x["w"]: x["count"] for x in rows}
+
+    model = fit(top(), pieces)
+    counts.unpersist()
+    return model
 
 
 def predictor(model: PieceModel):
@@ -191,7 +212,7 @@ def predictor(model: PieceModel):
     def run(texts):
         nonlocal places, known
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        if len(places) > _CACHED_WORDS:
+        if len(places) > _CACHED_WORDS * WIDE // max(WIDE, len(model.languages)):
             places, known = {}, known[:0]
         new = list({w for words in found for w in words}.difference(places))
         if new and model.languages:

@@ -111,6 +111,17 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert len(rows) > 20 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
 
 
+def test_language_learns_rare_and_unspaced_languages(spark):
+    rng, rows = random.Random(4), []
+    for k in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(40)]
+        gap = "" if k in (3, 69) else " "  # without spaces, a common and a rare language
+        rows += [(len(rows) + i, gap.join(rng.choice(own) for _ in range(60)), f"l{k:02}") for i in range(9 if k < 64 else 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, keep=["doc_id", "lang"]).collect()
+    assert len(got) == len(rows) and [r for r in got if r["lang"] != r["lang_pred"]] == []
+
+
 def test_language_edges(edge, none):
     got = langid.identify(edge, keep=["doc_id", "text"]).collect()
     assert len(got) == edge.count()

@@ -1,15 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's lower-cased words (runs of non-space) are hashed; rolling hashes of all ``K`` consecutive words are built by
+A text's units are its lower-cased words (runs of non-space); words of over ``LONG`` characters, and all words of texts of
+under ``SHORT``, give their characters instead, so texts without spaces and short ones have grams too.  Units are hashed; rolling hashes of all ``K`` consecutive units are built by
 doubling; of each ``WINDOW`` consecutive ones the smallest is chosen, the rightmost among equals, and kept with its
-position.  So two texts that share ``WINDOW + K - 1`` words in a row share a fingerprint entry, whose positions place
+position.  So two texts that share ``WINDOW + K - 1`` units in a row share a fingerprint entry, whose positions place
 the match.  Doubling takes log2 steps over whole arrays: no row is exploded and nothing is quadratic in the text.
 
 ``with_next`` pairs each document with the one after it by doc_id (the last with the first).  Rows are dealt to ranges
 of doc_id whose bounds are ids of the table; the first row of each range is sent to the range before it as well, so one
 shuffle of the texts is enough and no task sees the whole order.
 
-Defined results: null texts count as empty; a text without words has an empty fingerprint, one with fewer than K words that
+Defined results: null texts count as empty; a text without words has an empty fingerprint, one with fewer than K units that
 of the longest runs that doubling can build; likeness of two empty fingerprints is 1, of an empty and another one 0.  Rows are ordered by (doc_id, text);
 rows with a null doc_id come first.  A single row is its own next document.  Other columns are ignored.
 """
@@ -22,8 +23,11 @@ from pyspark.sql.window import Window
 
 from .common import shuffle_partitions
 
-#: Words in a gram and grams in a window: powers of two.
+#: Units in a gram and grams in a window: powers of two.
 K, WINDOW = 4, 4
+#: Characters of the longest word that is one unit, and of the shortest text that has such units: half of it, all that an
+#: edit leaves, holds WINDOW + K - 1 of them.
+LONG, SHORT = 12, 200
 #: Low bits of a packed value, for positions: more than a text can have words.
 _POSITION_BITS = 30
 _MASK = (1 << _POSITION_BITS) - 1
@@ -46,7 +50,9 @@ def _doubled(size: int, merge) -> list:
 
 def fingerprints(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: array<struct<hash long, position int>>, by position."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    words = F.regexp_extract_all(low, F.lit(rf"(?<!\S)\S{{1,{LONG}}}(?!\S)|\S"), F.lit(0))
+    words = F.when(F.char_length(text) < SHORT, F.regexp_extract_all(low, F.lit(r"\S"), F.lit(0))).otherwise(words)
     tmp = f"__{out}"
     df = df.withColumn(tmp, F.transform(words, lambda w: F.xxhash64(w)))
     for step in _doubled(K, lambda a, b: F.xxhash64(a, b)):

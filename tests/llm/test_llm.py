@@ -226,6 +226,14 @@ def test_winnowing_picks_rightmost_minimum(spark):
     assert [(e["hash"], e["position"]) for e in fp] == [(four[i], i) for i in sorted(expected)]
 
 
+def test_winnowing_without_spaces_and_short(spark):
+    rng = random.Random(6)
+    unspaced = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    rows = [(1, unspaced), (2, text(5, 60)), (3, "one short text of six words"), (4, "another quite different line"), (5, "x" * 20 + unspaced[::-1]), (6, text(7, 60))]
+    got = {r["doc_id"]: r for r in winnow.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["near_edited"] > 0.2 for i in (1, 3, 4, 5)) and got[1]["near_next"] == 0
+
+
 def test_winnowing_edges(edge, none):
     assert winnow.edit_likeness(edge).count() == edge.count() and winnow.edit_likeness(none).count() == 0
 

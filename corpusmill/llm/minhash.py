@@ -5,11 +5,12 @@ smallest doc_id goes on.  128 min-hashes are banded 32 x 4; texts that share a b
 signatures are compared batch by batch, and the pair is dropped as soon as the posterior probability (uniform prior) of a
 similarity at or above the threshold falls below ``MISS``.  Survivors are confirmed on the full sets.
 
-Only connectivity is wanted, so a bucket of m texts never yields m*m pairs: first each bucket links its members to one
-pivot (another one in each band), each text's most promising pair is confirmed first, and pairs inside a component
-found so far are skipped.  What is left in large buckets goes through an exact prefix filter: two texts with similarity
-t share a shingle among the (1-t) share of each that comes first in any common order, and enough must follow the first
-one they share; rare shingles come first, so texts that only share a frequent passage never meet.
+Only connectivity is wanted, so a bucket of m texts never yields m*m pairs: first each bucket proposes its pivot to its
+members.  Pivots come first in one order of all texts, so similar texts meet few of them; each text is tested against the
+pivot that it meets in most bands, and of the other proposals only those between different components are.  Buckets that still hold several
+components are cut into tiles, with the bucket's largest component on one side only, so it is never compared with itself.
+A first pass carries signatures and keeps the texts with a promising partner; a second one carries their sets too, and
+tests, confirms and links inside the tile, best pairs first.  Only a spanning forest leaves a tile, never its pairs.
 
 Defined results: a null or empty text, or one of white space only, has no shingles and is linked with nothing (it is kept
 as its own component); rows with the same doc_id are one node and each is returned; a null doc_id is returned with a null
@@ -26,17 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, materialize, mix64, word_hashes
+from .common import connected_components, gram_hashes, groups_of, materialize, mix64, shuffle_partitions, word_hashes
 
 PERMUTATIONS, BANDS = 128, 32
 ROWS = PERMUTATIONS // BANDS
 BATCH = 32
 #: Probability with which the sequential test may lose a pair at the threshold.
 MISS = 1e-6
-#: Buckets up to this size compare all their members; larger ones go through the prefix filter.
-SMALL_BUCKET = 16
-#: Counters of the shingle-frequency sketch that orders the prefix filter: fixed, whatever the input.
-SKETCH = 1 << 18
+#: A side of a tile: texts while only signatures are compared, shingles once sets are carried.
+TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 19
 _DOCS_AT_ONCE = 256
 
 
@@ -134,55 +133,149 @@ def _promising(threshold: float):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified(percent: int):
+    """The sequential test, then the exact check of its survivors."""
+    test, check = _promising(percent / 100), _confirmed(percent)
+
+    def run(batches):
+        for pdf in batches:
+            alive = next(test(iter([pdf]))).index
+            yield from check(iter([pdf.loc[alive]]))
+
+    return run
+
+
 def _confirmed(percent: int):
     def run(batches):
         for pdf in batches:
             ok = []
             for x, y in zip(pdf["set_a"], pdf["set_b"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(_linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     return run
 
 
-def _counted(batches):
-    counts = np.zeros(SKETCH, dtype=np.int64)
-    for pdf in batches:
-        for s in pdf["shingles"]:
-            counts += np.bincount(np.frombuffer(s, dtype=np.uint64) % np.uint64(SKETCH), minlength=SKETCH)
-    at = np.flatnonzero(counts)
-    yield pd.DataFrame({"slot": at, "n": counts[at]})
+def _alive(left: pd.DataFrame, right: pd.DataFrame, band: int, least: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """(row of left, row of right, matches) of the pairs of different components that pass the sequential test.
 
+    Pairs that an earlier band's bucket holds are left to it.
+    """
+    a, b = (np.frombuffer(b"".join(d["sig"]), dtype=np.uint8).reshape(-1, PERMUTATIONS) for d in (left, right))
+    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+    wide = [np.ascontiguousarray(x).view(f"u{ROWS}") for x in (a, b)]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    found = []
+    step = max(1, (1 << 20) // max(1, len(cb)))
+    for at in range(0, len(ca), step):
+        rows = slice(at, at + step)
+        on = ca[rows, None] != cb[None, :]
+        for column in range(band):
+            on &= wide[0][rows, column, None] != wide[1][None, :, column]
+        matches = np.zeros(on.shape, dtype=np.uint8)
+        for n, fewest in least.items():
+            if not on.any():
+                break
+            for column in range(n - BATCH, n):
+                matches += a[column, rows, None] == b[column, None, :]
+            on &= matches >= fewest
+        i, j = np.nonzero(on)
+        found.append((i + at, j, matches[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    side = pdf["side"].to_numpy()
+    return pdf[side != 1], pdf[side != 0]
+
+
+def _with_partner(threshold: float):
+    """The rows of a tile that have a promising partner."""
+    least = {n: fewest_matches(n, threshold) for n in range(BATCH, PERMUTATIONS + 1, BATCH)}
 
-def _prefixes(percent: int, sketch):
     def run(batches):
-        frequency = sketch.value
-        for pdf in batches:
-            ids, comps, sizes, places, out = [], [], [], [], []
-            for i, comp, s in zip(pdf["doc_id"], pdf["component"], pdf["shingles"]):
-                s = np.frombuffer(s, dtype=np.uint64)
-                keep = len(s) - -(-percent * len(s) // 100) + 1
-                first = s[np.lexsort((s, frequency[s % np.uint64(SKETCH)]))[:keep]]
-                out.append(first)
-                places.append(np.arange(len(first)))
-                for to, v in ((ids, i), (comps, comp), (sizes, len(s))):
-                    to.append(np.full(len(first), v))
-            if out:
-                yield pd.DataFrame(
-                    {
-                        "shingle": np.concatenate(out).view(np.int64),
-                        "doc_id": np.concatenate(ids),
-                        "component": np.concatenate(comps),
-                        "n": np.concatenate(sizes),
-                        "at": np.concatenate(places),
-                    }
-                )
+        for (band, key, _, _), pdf in groups_of(batches, _TILE):
+            left, right = _sides(pdf)
+            if len(left) and len(right):
+                i, j, _ = _alive(left, right, band, least)
+                ids = np.union1d(left["doc_id"].to_numpy()[np.unique(i)], right["doc_id"].to_numpy()[np.unique(j)])
+                yield pd.DataFrame({"band": np.full(len(ids), band), "key": np.full(len(ids), key), "doc_id": ids})
+
+    return run
+
+
+def _forest(percent: int):
+    """Confirmed links of a tile that join components not joined before in it."""
+    least = {n: fewest_matches(n, percent / 100) for n in range(BATCH, PERMUTATIONS + 1, BATCH)}
+
+    def run(batches):
+        for (band, *_), pdf in groups_of(batches, _TILE):
+            left, right = _sides(pdf)
+            if not len(left) or not len(right):
+                continue
+            i, j, matches = _alive(left, right, band, least)
+            ids, comps, sets = ([d[c].tolist() for d in (left, right)] for c in ("doc_id", "component", "shingles"))
+            sets = [[np.frombuffer(x, dtype=np.uint64) for x in s] for s in sets]
+            root, links = {}, []
+
+            def find(x):
+                while x in root:
+                    x = root[x]
+                return x
+
+            for at in np.argsort(-matches.astype(np.int16), kind="stable"):
+                x, y = i[at], j[at]
+                a, b = find(comps[0][x]), find(comps[1][y])
+                if a != b and _linked(sets[0][x], sets[1][y], percent):
+                    root[max(a, b)] = min(a, b)
+                    links.append((ids[0][x], ids[1][y]))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _tiled(rows: DataFrame, weight: str, capacity: int) -> DataFrame:
+    """Rows of buckets with several components, copied to their tiles (x, y).
+
+    ``y`` numbers parts of the texts outside the bucket's largest component, ``x`` parts of that component and, after
+    them, the same parts again.  Side 0 holds x, side 1 holds y, and 2 both, where a part meets itself.
+    """
+    own = rows.groupBy("band", "key", "component").agg(F.sum(weight).alias("w"))
+    sized = own.groupBy("band", "key").agg(
+        F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("inner"), F.sum("w").alias("all"), F.count("*").alias("n")
+    )
+    part = lambda w: F.greatest(F.lit(1), F.ceil(w / capacity)).cast("int")
+    sized = materialize(sized.where("n > 1").select(
+        "band", "key", "main", part(F.col("inner")).alias("gm"), part(F.col("all") - F.col("inner")).alias("go")
+    ))
+    rows = rows.join(sized, ["band", "key"])
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    at = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.alias("side"))
+    zero, one, two = (F.lit(v).cast("int") for v in range(3))
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    inner = F.transform(upto("go"), lambda y: at(mine("gm"), y, zero))
+    outer = F.concat(
+        F.transform(upto("gm"), lambda x: at(x, mine("go"), one)),
+        F.transform(upto("go"), lambda y: at(
+            F.col("gm") + F.least(y, mine("go")), F.greatest(y, mine("go")),
+            F.when(y == mine("go"), two).when(y > mine("go"), zero).otherwise(one),
+        )),
+    )
+    tiles = rows.withColumn("t", F.explode(F.when(F.col("component") == F.col("main"), inner).otherwise(outer)))
+    tiles = tiles.select("*", "t.x", "t.y", "t.side").drop("t", "main", "gm", "go", weight)
+    return tiles.repartition(shuffle_partitions(rows.sparkSession), *_TILE).sortWithinPartitions(*_TILE)
+
+
+_TILE = ["band", "key", "x", "y"]
+
+
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
@@ -201,6 +294,12 @@ class _Linker:
             _promising(self.percent / 100), "a long, b long, matches long"
         )
 
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Test and check in one pass: for pairs most of which will stand."""
+        full = self.active.select("doc_id", "sig", "shingles")
+        both = pairs.join(full.toDF("a", "sig_a", "set_a"), "a").join(full.toDF("b", "sig_b", "set_b"), "b")
+        return both.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(_verified(self.percent), "a long, b long")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         full = self.active.select("doc_id", "shingles")
         both = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b")
@@ -245,7 +344,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
 
     rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     pivots = rows.groupBy("band", "key").agg(
-        F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("pivot")
+        F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("pivot")
     )
     buckets = materialize(rows.join(materialize(pivots.where("size > 1")), ["band", "key"]))
 
@@ -254,41 +353,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     active = materialize(texts.distinct().join(reps.select("doc_id", "sig", "n_shingles"), "doc_id"))
     link = _Linker(active, percent)
 
-    # 1. each bucket's members against its pivot: the best pair of each text, then the others still apart
-    likely = materialize(link.promising(_ordered(buckets, "doc_id", "pivot")))
-    ends = likely.select("a", "b", "matches", F.col("a").alias("id")).unionByName(
-        likely.select("a", "b", "matches", F.col("b").alias("id"))
-    )
-    best = ends.groupBy("id").agg(F.max(F.struct("matches", -F.col("a"), -F.col("b"))).alias("m"))
-    best = best.select((-F.col("m.col2")).alias("a"), (-F.col("m.col3")).alias("b")).distinct()
-    link.add(link.confirmed(best))
-    link.add(link.confirmed(link.apart(likely.select("a", "b"))))
+    # 1. each text against the pivot that it meets in most bands, then the other proposals across components
+    met = materialize(buckets.where("doc_id != pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("bands")))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("p"))).alias("m"))
+    link.add(link.verified(_ordered(best.select("doc_id", (-F.col("m.p")).alias("pivot")), "doc_id", "pivot")))
+    rest = materialize(link.apart(_ordered(met, "doc_id", "pivot")))
+    link.add(link.confirmed(materialize(link.promising(rest).select("a", "b"))))
 
-    # 2. what is left: all pairs across components in small buckets, the prefix filter in large ones
+    # 2. buckets that still hold several components
     comp = link.components.toDF("doc_id", "component")
-    seen = buckets.join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    seen = buckets.select("band", "key", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = seen.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     seen = materialize(seen.join(mixed.where("lo < hi").select("band", "key"), ["band", "key"]))
-    small = seen.where(F.col("size") <= SMALL_BUCKET)
-    left, right = (small.select("band", "key", F.col("doc_id").alias(x), F.col("component").alias("c" + x)) for x in "ab")
-    pairs = left.join(right, ["band", "key"]).where("a < b and ca != cb").select("a", "b")
-
-    hot = seen.where(F.col("size") > SMALL_BUCKET).select("doc_id", "component").distinct()
-    hot = materialize(active.select("doc_id", "shingles").join(hot, "doc_id"))
-    spark = docs.sparkSession
-    frequency = np.zeros(SKETCH, dtype=np.int64)
-    counted = hot.select("shingles").mapInPandas(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n"))
-    for slot, n in counted.toLocalIterator():
-        frequency[slot] = n
-    prefixes = hot.mapInPandas(
-        _prefixes(percent, spark.sparkContext.broadcast(frequency)), "shingle long, doc_id long, component long, n long, at long"
-    )
-    left, right = (prefixes.toDF("shingle", x, "c" + x, "n" + x, "at" + x) for x in "ab")
-    # the first common shingle has as many at or after it, in both texts, as a link needs in common
-    enough = F.expr(f"least(na - ata, nb - atb) * {100 + percent} >= {percent} * (na + nb)")
-    met = left.join(right, "shingle").where("a < b and ca != cb")
-    met = met.where(enough).select("a", "b")
-    link.add(link.confirmed(link.promising(pairs.unionByName(met).distinct()).select("a", "b")))
+    tiles = _tiled(seen.join(active.select("doc_id", "sig"), "doc_id").withColumn("one", F.lit(1)), "one", TILE_TEXTS)
+    some = tiles.mapInPandas(_with_partner(percent / 100), "band int, key long, doc_id long").distinct()
+    seen = materialize(seen.join(some, ["band", "key", "doc_id"]))
+    tiles = _tiled(seen.join(active, "doc_id"), "n_shingles", TILE_SHINGLES)
+    link.add(tiles.mapInPandas(_forest(percent), "a long, b long"))
 
     comp = link.components.toDF("rep", "component")
     found = members.join(comp, "rep", "left").groupBy("doc_id").agg(

@@ -65,6 +65,15 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def one_text_an_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the smallest text of each id; only texts of repeated ids are shuffled."""
+    again = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.take(1):
+        return docs
+    chosen = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(again, "doc_id", "left_anti").unionByName(chosen)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge.
 
@@ -98,24 +107,42 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return top.select(F.col("u").alias("id"), "component").unionByName(roots)
 
 
-def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Groups of rows with equal keys from batches sorted by them; a group may go on in the next batch."""
-    rest: list[pd.DataFrame] = []
+def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """(key, columns) of rows with equal keys from batches sorted by them; a group may go on in the next batch."""
+    rest: list[dict[str, np.ndarray]] = []
     last = None
+
+    def whole():
+        return rest[0] if len(rest) == 1 else {c: np.concatenate([r[c] for r in rest]) for c in rest[0]}
+
     for pdf in batches:
         if not len(pdf):
             continue
-        values = [pdf[k].to_numpy() for k in keys]
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        values = [columns[k] for k in keys]
         change = np.zeros(len(pdf), dtype=bool)
         for v in values:
             change[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.flatnonzero(change), len(pdf)]
+        cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
         for start, stop in zip(cuts, cuts[1:]):
             key = tuple(v[start] for v in values)
             if last is not None and key != last:
-                yield last, rest[0] if len(rest) == 1 else pd.concat(rest)
+                yield last, whole()
                 rest = []
             last = key
-            rest.append(pdf.iloc[start:stop])
+            rest.append({c: v[start:stop] for c, v in columns.items()})
     if rest:
-        yield last, rest[0] if len(rest) == 1 else pd.concat(rest)
+        yield last, whole()
+
+
+def in_frames(parts: Iterator[dict[str, np.ndarray]], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Small pieces of columns gathered into frames of about ``rows`` rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(next(iter(part.values())))
+        if n >= rows:
+            yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            held, n = [], 0
+    if n:
+        yield pd.DataFrame({c: np.concatenate([h[c] for h in held]) for c in held[0]})

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, groups_of, materialize, mix64, shuffle_partitions, word_hashes
+from .common import connected_components, gram_hashes, groups_of, in_frames, materialize, mix64, shuffle_partitions, word_hashes
 
 PERMUTATIONS, BANDS = 128, 32
 ROWS = PERMUTATIONS // BANDS
@@ -163,13 +163,13 @@ def _confirmed(percent: int):
     return run
 
 
-def _alive(left: pd.DataFrame, right: pd.DataFrame, band: int, least: dict[int, int]) -> tuple[np.ndarray, ...]:
+def _alive(left: dict, right: dict, band: int, least: dict[int, int]) -> tuple[np.ndarray, ...]:
     """(row of left, row of right, matches) of the pairs of different components that pass the sequential test.
 
     Pairs that an earlier band's bucket holds are left to it.
     """
     a, b = (np.frombuffer(b"".join(d["sig"]), dtype=np.uint8).reshape(-1, PERMUTATIONS) for d in (left, right))
-    ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+    ca, cb = left["component"], right["component"]
     wide = [np.ascontiguousarray(x).view(f"u{ROWS}") for x in (a, b)]
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     found = []
@@ -191,24 +191,27 @@ def _alive(left: pd.DataFrame, right: pd.DataFrame, band: int, least: dict[int,
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    side = pdf["side"].to_numpy()
-    return pdf[side != 1], pdf[side != 0]
+def _tile_sides(batches):
+    """(band, key, left, right) of the tiles that have both sides."""
+    for (band, key, _, _), rows in groups_of(batches, _TILE):
+        side = rows["side"]
+        left, right = ({c: v[side != other] for c, v in rows.items()} for other in (1, 0))
+        if len(left["side"]) and len(right["side"]):
+            yield band, key, left, right
 
 
 def _with_partner(threshold: float):
     """The rows of a tile that have a promising partner."""
     least = {n: fewest_matches(n, threshold) for n in range(BATCH, PERMUTATIONS + 1, BATCH)}
 
-    def run(batches):
-        for (band, key, _, _), pdf in groups_of(batches, _TILE):
-            left, right = _sides(pdf)
-            if len(left) and len(right):
-                i, j, _ = _alive(left, right, band, least)
-                ids = np.union1d(left["doc_id"].to_numpy()[np.unique(i)], right["doc_id"].to_numpy()[np.unique(j)])
-                yield pd.DataFrame({"band": np.full(len(ids), band), "key": np.full(len(ids), key), "doc_id": ids})
+    def found(batches):
+        for band, key, left, right in _tile_sides(batches):
+            i, j, _ = _alive(left, right, band, least)
+            if len(i):
+                ids = np.union1d(left["doc_id"][i], right["doc_id"][j])
+                yield {"band": np.full(len(ids), band), "key": np.full(len(ids), key), "doc_id": ids}
 
-    return run
+    return lambda batches: in_frames(found(batches))
 
 
 def _forest(percent: int):
@@ -216,13 +219,10 @@ def _forest(percent: int):
     least = {n: fewest_matches(n, percent / 100) for n in range(BATCH, PERMUTATIONS + 1, BATCH)}
 
     def run(batches):
-        for (band, *_), pdf in groups_of(batches, _TILE):
-            left, right = _sides(pdf)
-            if not len(left) or not len(right):
-                continue
+        for band, _, left, right in _tile_sides(batches):
             i, j, matches = _alive(left, right, band, least)
-            ids, comps, sets = ([d[c].tolist() for d in (left, right)] for c in ("doc_id", "component", "shingles"))
-            sets = [[np.frombuffer(x, dtype=np.uint64) for x in s] for s in sets]
+            ids, comps = ([d[c].tolist() for d in (left, right)] for c in ("doc_id", "component"))
+            sets = [[np.frombuffer(x, dtype=np.uint64) for x in d["shingles"]] for d in (left, right)]
             root, links = {}, []
 
             def find(x):
@@ -236,7 +236,8 @@ def _forest(percent: int):
                 if a != b and _linked(sets[0][x], sets[1][y], percent):
                     root[max(a, b)] = min(a, b)
                     links.append((ids[0][x], ids[1][y]))
-            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 

@@ -103,10 +103,10 @@ def _chunks(batches):
 
 
 def _introduce(batches):
-    for _, pdf in groups_of(batches, ["u"]):
-        if len(pdf) > 1:
-            x = _normed(pdf["v"].tolist())
-            yield _best(pdf["id"].to_numpy(), x @ x.T)
+    for _, rows in groups_of(batches, ["u"]):
+        if len(rows["id"]) > 1:
+            x = _normed(rows["v"].tolist())
+            yield _best(rows["id"], x @ x.T)
 
 
 def _tiles(threshold: float):

@@ -178,6 +178,26 @@ def test_passage_edges(edge, none):
     assert chaining.repeated_passages(none).count() == 0
 
 
+def test_passages_of_repeated_ids(spark):
+    base, longer = text("same", 60), text("same", 60) + " " + text("other", 20)
+    rows = [(1, base), (2, longer), (2, "aa tiny0"), (3, base), (4, base), (4, base), (5, None), (5, base)]
+    got = {(r["doc_id"], r["match_doc_id"]) for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 1), (4, 1), (5, 1)}  # the smallest text of 2 is the short one, and of 5 the only one
+
+
+@pytest.mark.parametrize("every", [8, 12, 20])
+def test_fuzzy_passages_recall(spark, every):
+    """Passages of 100 words of which every n-th differs: identity 0.875, 0.92 and 0.95."""
+    rows = []
+    for k in range(40):
+        passage = text(f"fuzzy{k}", 100).split()
+        other = [w if (i + 1) % every else f"new{k}x{i}" for i, w in enumerate(passage)]
+        rows += [(2 * k, text(f"a{k}", 60) + " " + " ".join(passage)), (2 * k + 1, " ".join(other) + " " + text(f"b{k}", 60))]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"] // 2 for r in got if r["match_doc_id"] == r["doc_id"] - 1}
+    assert len(found) >= {8: 0.3, 12: 0.9, 20: 1.0}[every] * 40, len(found)
+
+
 def test_passages_whose_parts_occur_elsewhere(spark):
     rows = []
     for k in range(12):  # parts before, between and after the two that share the whole

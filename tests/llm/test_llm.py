@@ -340,10 +340,35 @@ def test_embeddings(spark):
     assert [by[i]["n_links"] for i in range(n)] == linked.sum(axis=1).tolist()
     assert all(by[i]["n_links"] == 0 and by[i]["component_id"] == i for i in range(n, n + 6))
     assert by[None]["component_id"] is None
+    root = list(range(n))
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = root[i], root[j]
+        if a != b:
+            root = [min(a, b) if r == max(a, b) else r for r in root]
+    assert [by[i]["component_id"] for i in range(n)] == root and [by[i]["kept"] for i in range(n)] == [r == i for i, r in enumerate(root)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nndescent.near_duplicates(empty).count() == 0
 
 
+def test_embeddings_of_any_magnitude_and_repeated_ids(spark):
+    pair = [[1e300, 1e300], [1e300, 1.01e300], [1e-200, 1e-200], [1.0, 0.1], [5e-324, 0.0]]
+    rows = [*enumerate(pair), (9, [-1.0, 0.0]), (9, [-1.0, 0.001]), (9, [-1.0, 0.0])]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] < 9}
+    assert by == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3)} and len(got) == len(rows)
+    assert sorted(r["n_links"] for r in got if r["vec_id"] == 9) in ([0, 0, 0], [0, 1, 1])
+
+
+def test_embeddings_wide_chain(spark):
+    """Saturated lists that no core explains: a dense arc, each vector linked to a part of it."""
+    angles = np.linspace(0, 2.0, 900)
+    rows = [(i, [float(np.cos(t)), float(np.sin(t)), 0.0]) for i, t in enumerate(angles)]
+    got = {r["vec_id"]: r["n_links"] for r in nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert [got[i] for i in range(len(rows))] == ((v @ v.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
 def test_embeddings_audit_sees_small_groups(spark, monkeypatch):
     rng = np.random.default_rng(3)
     hub = rng.standard_normal(16)

@@ -4,19 +4,23 @@ A source with weight w among the listed ones and n of their N documents gets the
 document's number of copies inverts the Poisson distribution of that mean at a uniform number hashed from (seed, doc_id),
 so it is the same in every run and on any partitioning.  Copies are exploded and shuffled globally by another hash.
 
-Only one count a listed source reaches the driver; the distributions are literals of the plan, so there is no join and no
-skew by source.  Defined results: sources that aren't listed, null ones included, have ``other_rate``; a listed source
-without documents has none; rows with the same doc_id get the same number of copies; other columns are carried along.
+Only one count a listed source reaches the driver; the rates are literals of the plan, so there is no join and no skew by
+source.  The inversion adds up the distribution's terms from their logarithms, between bounds of its tails: the
+work for a row is at most in proportion to its copies, whatever the rate.
+
+Defined results: sources that aren't listed, null ones included, have ``other_rate``; a listed source without documents has
+none; rows with the same doc_id get the same number of copies; rows with a null doc_id are known by their text instead;
+other columns are carried along, but columns named copy or shuffle_key are replaced.
 """
 
 from __future__ import annotations
 
-from math import exp
+from math import pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import free_name, shuffle_partitions
 
 SEED = "mix-1"
 #: Production weights: the same for each of twenty sources.
@@ -30,24 +34,30 @@ def hashed_uniform(seed: str, *keys: str | Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *parts)), 1, 13), 16, 10).cast("long") / F.lit(_UNIT)
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """P(X <= 0), P(X <= 1), ... until no hashed number lies beyond."""
-    if rate <= 0:
-        return []
-    if rate > 700:  # exp(-rate) would vanish; a Poisson sum of equal parts has the same law, tabulated by convolution
-        from numpy import convolve, diff
+def log_term(rate: Column, k: Column) -> Column:
+    """Logarithm of P(X = k): by the factorial of small k, else by Stirling's series about the mean."""
+    x = k.cast("double")
+    small = x * F.log(rate) - rate - F.log(F.factorial(F.least(k, F.lit(15))).cast("double"))
+    over = rate - x
+    series = 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    large = x * F.log1p(over / x) - over - F.log(F.lit(2 * pi) * x) / 2 - series
+    return F.when(k < 16, small).otherwise(large)
+
+
+def poisson_count(rate: Column, u: Column) -> Column:
+    """How many values P(X <= 0), P(X <= 1), ... of the Poisson distribution with that mean are at most ``u`` (0 <= u < 1)."""
+    # below ``first`` P(X <= k) <= exp(-x*x / (2 * rate)) is under any hashed u but 0
+    first = F.greatest(F.lit(0), F.floor(rate - 9.2 * F.sqrt(rate)) - 1).cast("int")
+    # P(X >= rate + x) <= exp(-x*x / (2 * (rate + x/3))) (Bernstein), so no more than rate + x can be counted
+    spare = F.greatest(-F.log1p(-u), F.lit(0.0))
+    last = F.ceil(rate + spare / 3 + F.sqrt(spare * spare / 9 + 2 * rate * spare)).cast("int") + 1
+
+    def step(state: Column, k: Column) -> Column:
+        total = state["total"] + F.exp(log_term(rate, k))
+        return F.struct(total.alias("total"), (state["n"] + (total <= u).cast("int")).alias("n"))
 
-        half = poisson_cdf(rate / 2)
-        mass = diff([0.0, *half])
-        return list(convolve(mass, mass).cumsum())
-    term = total = exp(-rate)
-    out, k = [total], 0
-    while total < 1 - 1 / _UNIT and (k < rate or term > 1e-18):
-        k += 1
-        term *= rate / k
-        total += term
-        out.append(total)
-    return out
+    start = F.struct(F.lit(0.0).alias("total"), first.alias("n"))
+    return F.when((rate > 0) & (u > 0), F.aggregate(F.sequence(first, last), start, step, lambda s: s["n"])).otherwise(0)
 
 
 def target_rates(counts: dict[str, int], weights: dict[str, float]) -> dict[str, float]:
@@ -60,15 +70,15 @@ def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: str =
     """All columns of ``docs`` plus copy (from 0) and shuffle_key, globally shuffled."""
     found = docs.where(F.col("source").isin(*weights)).groupBy("source").count().collect()
     rates = target_rates({r["source"]: r["count"] for r in found}, weights)
-    cdf = F.array(*map(F.lit, poisson_cdf(other_rate))).cast("array<double>")
+    rate = F.lit(float(other_rate))
     if rates:
-        known = F.create_map(*(x for s, r in rates.items() for x in (F.lit(s), F.array(*map(F.lit, poisson_cdf(r))))))
-        cdf = F.coalesce(F.try_element_at(known, F.col("source")), cdf)
-    # numbering both here keeps the cumulative tables out of the exploded rows
-    u = hashed_uniform(seed, "doc_id")
-    copies = docs.withColumn("__n", F.size(F.filter(cdf, lambda c: c <= u)))
-    copies = copies.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "copy")]
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed + "/order"), *parts)), 1, 15), 16, 10).cast("long")
-    copies = copies.withColumn("shuffle_key", key)
+        known = F.create_map(*(F.lit(x) for s, r in rates.items() for x in (s, float(r))))
+        rate = F.coalesce(F.try_element_at(known, F.col("source")), rate)
+    n, r, u = (free_name(docs, x) for x in ("n", "rate", "u"))
+    known_by = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))) if "text" in docs.columns else F.lit(""))
+    rows = docs.drop("copy", "shuffle_key").withColumns({r: rate, u: hashed_uniform(seed, known_by)})
+    copies = rows.withColumn(n, poisson_count(F.col(r), F.col(u))).where(F.col(n) > 0)
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed + "/order"), known_by, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    copies = copies.withColumn("shuffle_key", key).drop(n, r, u)
     return copies.repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -1,11 +1,11 @@
 """Best-fit sequence packing planned over the histogram of lengths.
 
-Documents are tokenised once, by the byte-level BPE of a fixed public vocabulary in its rank form (which gives the ids of
-the ``tokenizers`` file of the same name; strings of special tokens are ordinary text), then id 0.  Longer ones are cut
+Documents are tokenised once, by the ``tokenizers`` file of a fixed public vocabulary without added special tokens (the
+string of a special token in a text gives its id, as that library does by default), then id 0.  Longer ones are cut
 into pieces of the capacity, the first one shorter.  Best-fit decreasing then runs over the *counts* of the at most ``capacity``
 different lengths: sequences with equal contents are one group, so the work and the plan depend on the capacity and not
 on the number of documents.  The pieces take their planned slots by joining on their rank within their length; ranks are
-counted within salted parts of a length, so no length is gathered in one task.
+counted within salted parts of a length, as many as its count asks for, so no length is gathered in one task.
 
 Defined results: a null text counts as empty (one piece holding only id 0); repeated rows are packed each; a null doc_id
 is packed as such; pieces of equal length are ranked by doc_id, piece and checksum; an empty table gives no rows.
@@ -13,10 +13,8 @@ is packed as such; pieces of equal length are ranked by doc_id, piece and checks
 
 from __future__ import annotations
 
-import base64
-import sys
+import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -28,46 +26,56 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-CAPACITY, TOKENIZER, END_ID = 2048, "byte_bpe_50k.tiktoken", 0
-SALTS = 32
+CAPACITY, TOKENIZER, END_ID = 2048, "byte_bpe_50k.json", 0
+#: Pieces in a salted part of a length, and parts of all lengths beyond one each: the counts that reach the driver are few.
+PART_PIECES, MAX_PARTS = 50_000, 1 << 15
+#: Characters that are encoded at once.
+_CHARS_AT_ONCE = 1 << 20
 #: A plan has a few rows a length; more than this and it isn't broadcast.
 BROADCAST_ROWS = 200_000
 
 
 def encoder(path: str | None = None):
-    """Function giving a text's ids as little-endian unsigned 32-bit bytes."""
-    import tiktoken
+    """Function giving the ids of each text as little-endian unsigned 32-bit numbers."""
+    from tokenizers import Tokenizer
 
-    with open(path or public_tokenizers.path(TOKENIZER), "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    bpe = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores are all in use
+    tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
 
-    def encode(text: str) -> bytes:
-        ids = array("I", bpe.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     return encode
 
 
+def _few(texts) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``_CHARS_AT_ONCE`` characters."""
+    out, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= _CHARS_AT_ONCE:
+            out.append((start, i + 1))
+            start, size = i + 1, 0
+    return [*out, (start, len(texts))] if start < len(texts) else out
+
+
 def _cut(capacity: int, path: str | None, with_ids: bool):
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    end = np.array([END_ID], dtype="<u4")
+    names = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches):
         encode = encoder(path)
         for pdf in batches:
-            rows = []
-            for doc, no_id, text in zip(pdf["doc_id"], pdf["no_id"], pdf["text"]):
-                ids = encode(text or "") + end
-                n = len(ids) // 4
-                first = (n - 1) % capacity + 1
-                for piece, start in enumerate([0, *range(first, n, capacity)]):
-                    stop = first if piece == 0 else start + capacity
-                    part = ids[4 * start : 4 * stop]
-                    rows.append((doc, no_id, piece, start, stop - start, zlib.crc32(part), *([part] if with_ids else [])))
-            names = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            yield pd.DataFrame(rows, columns=names)
+            for begin, finish in _few(pdf["text"]):
+                few, rows = pdf.iloc[begin:finish], []
+                for doc, no_id, ids in zip(few["doc_id"], few["no_id"], encode([t or "" for t in few["text"]])):
+                    ids = np.concatenate([ids, end])
+                    n = len(ids)
+                    first = (n - 1) % capacity + 1
+                    for piece, start in enumerate([0, *range(first, n, capacity)]):
+                        part = ids[start : first if piece == 0 else start + capacity].tobytes()
+                        rows.append((doc, no_id, piece, start, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+                yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -121,9 +129,13 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece."""
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    pieces = materialize(token_pieces(docs, capacity, path).withColumn("salt", salt))
-    # at most capacity x SALTS counts
+    pieces = materialize(token_pieces(docs, capacity, path))
+    sizes = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    most = max(PART_PIECES, sum(sizes.values()) // MAX_PARTS)
+    salts = spark.createDataFrame([(n, -(-count // most)) for n, count in sizes.items()], "length long, salts int")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")
+    pieces = pieces.join(F.broadcast(salts), "length").withColumn("salt", salt).drop("salts")
+    # at most capacity + MAX_PARTS counts
     counts = sorted((r["length"], r["salt"], r["count"]) for r in pieces.groupBy("length", "salt").count().collect())
     histogram: dict[int, int] = {}
     before = []

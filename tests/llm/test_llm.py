@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -258,14 +259,13 @@ def test_winnowing_edges(edge, none):
     assert winnow.edit_likeness(edge).count() == edge.count() and winnow.edit_likeness(none).count() == 0
 
 
-def test_packing(spark, edge, none):
+def test_packing(spark, edge, none, monkeypatch):
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    rows = [(i, t) for i, t in enumerate([text(1, 700), "", None, "a  b\n\n c", text(2, 2000), "<|endoftext|>", "ü" * 30] + [text(i, 90) for i in range(40)])]
+    rows = [(i, t) for i, t in enumerate([text(1, 700), "", None, "a  b\n\n c", text(2, 2000), "a<|endoftext|>b <|endoftext|>", "ü" * 30] + [text(i, 90) for i in range(40)])]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), 256).collect()
     places = {}
     for r in got:
@@ -282,6 +282,10 @@ def test_packing(spark, edge, none):
     assert len(places) <= 1.1 * sum(r["length"] for r in got) / 256 + 1
     whole = packing.packed_sequences(spark.createDataFrame(rows[:3], "doc_id long, text string"), packing.pack(spark.createDataFrame(rows[:3], "doc_id long, text string"), 256), 256)
     assert sum(len(r["ids"]) // 4 for r in whole.collect()) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows[:3])
+    monkeypatch.setattr(packing, "PART_PIECES", 7)  # several parts of a length
+    parts = packing.pack(spark.createDataFrame([(i, "one text") for i in range(60)], "doc_id long, text string"), 256).collect()
+    places = [(r["sequence_id"], r["offset"]) for r in parts]
+    assert len({r["doc_id"] for r in parts}) == 60 == len(set(places)) and len({q for q, _ in places}) == -(-60 // (256 // parts[0]["length"]))
     ids = [r["doc_id"] for r in packing.pack(edge).collect()]
     assert None in ids and (1 << 60) + 1 in ids and packing.pack(none).count() == 0
 
@@ -437,8 +441,18 @@ def test_mixing(spark, edge, none):
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     got = {r["source"]: r["count"] for r in mixing.replicate(docs, {"src0": 1, "src1": 3}).groupBy("source").count().collect()}
     assert abs(got["src0"] - 1500) < 150 and abs(got["src1"] - 4500) < 250
-    cdf = mixing.poisson_cdf(2.5)
-    assert np.isclose(cdf[0], np.exp(-2.5)) and cdf[-1] > 1 - 1e-12 and np.isclose(mixing.poisson_cdf(1400.0)[1400], 0.507, atol=0.01)
+    for rate in (0.0, 0.05, 2.5, 40.0, 900.0, 100_000.0):
+        us = [0.0, 1e-9, 0.3, 0.5, 0.77, 1 - 1e-9, 1 - 2.0**-52]
+        got = [r[0] for r in spark.createDataFrame([(x,) for x in us], "u double").select(mixing.poisson_count(F.lit(rate), F.col("u"))).collect()]
+        k = range(int(rate + 12 * rate**0.5) + 60)
+        cdf = np.cumsum([math.exp(x * math.log(rate) - rate - math.lgamma(x + 1)) for x in k] if rate else [1.0])
+        slack = 3 if rate > 1000 else 0  # the sum above is not exact either
+        assert all(abs(g - int((cdf <= x).sum())) <= slack for g, x in list(zip(got, us))[1:-1]), rate
+        assert got[0] == 0 and (rate <= got[-1] <= rate + 9 * rate**0.5 + 20 or not rate)
+    ties = spark.createDataFrame([(None, f"text {i}", i) for i in range(400)], "doc_id long, text string, __n int").withColumn("source", F.lit("x"))
+    many = mixing.replicate(ties, other_rate=2.0)
+    assert many.columns == ["doc_id", "text", "__n", "source", "copy", "shuffle_key"] and abs(many.count() - 800) < 150
+    assert many.select("shuffle_key").distinct().count() == many.count()
     out = mixing.replicate(edge)
     assert out.select("doc_id", "copy").where("copy < 0").count() == 0 and mixing.replicate(none).count() == 0
 

@@ -2,6 +2,10 @@
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
 ``docs``.  All but the last return the columns of ``documents``.
+
+Defined results: documents with a null or empty text, or one without a letter, are rejected by the first stage; documents
+with a null doc_id can't be compared and stay; of rows with one doc_id and one text one stays, and rows with one doc_id and
+different texts stay or go together; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -32,13 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates; n_chars counts the new text."""
-    new = pii.pseudonymise(docs.select(COLUMNS))
+    """Personal data replaced by surrogates under the session's key; n_chars counts the new text."""
+    new = pii.pseudonymise(docs.select(COLUMNS), pii.session_key(spark))
     return new.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the target weights of their sources and shuffled."""
+    """Documents replicated to the target weights of their sources and shuffled; unlisted and null sources keep a rate of 1."""
     return mixing.replicate(docs.select(COLUMNS)).select(COLUMNS)
 
 
@@ -59,11 +63,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of ``sf_dir``."""
+    """All stages over the ``documents`` of ``sf_dir``; a stage's table is removed once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        written = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before:
+            _remove(spark, before)
+        before = written
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -17,10 +18,13 @@ _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names; one of our own only in a single JVM where it is unset (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 

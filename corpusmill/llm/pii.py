@@ -10,27 +10,31 @@ before or after, is rewritten too.  Names that no honorific or title introduces
 
 Distinctness is checked over the whole corpus: surrogates that two entities share, or that equal an entity of the
 corpus, are drawn again until none is left.  The few entities that needed another draw are the only ones to be looked up
-when texts are rewritten: broadcast while at most ``BROADCAST_ROWS``, joined by document beyond.
+when texts are rewritten: broadcast while at most ``BROADCAST_ROWS``, joined by a digest of the text beyond, with the same
+result.
 
-Defined results: a null text stays null, a text without entities is unchanged; all rows and columns are kept, rows with a null doc_id
-included; repeated rows are rewritten alike.
+The key is the caller's secret: whoever has it can recompute the surrogate of a guessed entity.
+
+Defined results: a null text stays null, a text without entities is unchanged; all rows and columns are kept, rows with a
+null doc_id included; equal texts are rewritten alike; a column n_entities is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
-#: Where a key is kept secret it is passed in.
-KEY = b"surrogate key of the tests"
 BROADCAST_ROWS = 50_000
+#: The setting of the session that holds the key of registered queries.
+KEY_SETTING = "spark.corpusmill.surrogates.key"
 MAX_DRAWS = 50
 
 _MALE = "Mr Herr Herrn Monsieur Señor Don Signor Sir Г-н Господин Κύριος"
@@ -175,7 +179,13 @@ def _like(c: str, s: _Stream, hexadecimal: bool = False) -> str:
     return c if c in "._+-@ " or not c.isalpha() else "abcdefghijklmnopqrstuvwxyz"[s.below(26)]
 
 
-def surrogate(kind: str, canonical: str, key: bytes = KEY, draw: int = 0) -> str:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting names; where it is unset, a random one, so surrogates agree within the run only."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return hashlib.sha256(named.encode()).digest() if named else secrets.token_bytes(32)
+
+
+def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
     """The canonical form's surrogate: a function of its arguments only."""
     s = _Stream(key, kind.split("/")[0], canonical, draw)
     base, _, gender = kind.partition("/")
@@ -250,7 +260,7 @@ def _redrawn(key: bytes):
     return run
 
 
-def redrawn(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, draw, surrogate) of the entities whose first surrogate wasn't distinct."""
     first = docs.select("text").where("text is not null").mapInPandas(_found(key), "kind string, canonical string, surrogate string")
     cur = materialize(first.distinct().withColumn("draw", F.lit(0)))
@@ -272,12 +282,12 @@ def redrawn(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return cur.where("draw > 0")
 
 
-def _rewrite(key: bytes, shared, schema_names: list[str]):
+def _rewrite(key: bytes, shared, schema_names: list[str], extra_name: str | None):
     def run(batches):
         known = shared.value if shared is not None else {}
         memo: dict[tuple[str, str], str] = {}
         for batch in batches:
-            own = batch.column("__own").to_pylist() if "__own" in batch.schema.names else [None] * batch.num_rows
+            own = batch.column(extra_name).to_pylist() if extra_name else [None] * batch.num_rows
             texts, counts = [], []
             for text, extra in zip(batch.column("text").to_pylist(), own):
                 if text is None:
@@ -304,24 +314,30 @@ def _rewrite(key: bytes, shared, schema_names: list[str]):
 
 def _mentions(batches):
     for pdf in batches:
-        rows = {(d, k, c) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for _, _, k, c in entities(t)}
-        yield pd.DataFrame(sorted(rows), columns=["doc_id", "kind", "canonical"])
+        rows = {(d, k, c) for d, t in zip(pdf["digest"], pdf["text"]) if t for _, _, k, c in entities(t)}
+        yield pd.DataFrame(sorted(rows), columns=["digest", "kind", "canonical"])
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """All columns of ``docs`` with the text rewritten, plus n_entities (a column of that name is replaced)."""
+def pseudonymise(docs: DataFrame, key: bytes, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """All columns of ``docs`` with the text rewritten, plus n_entities."""
+    if not key:
+        raise ValueError("surrogates need a key")
     docs = docs.drop("n_entities")
-    again = redrawn(docs, key)
+    again = materialize(redrawn(docs, key))
     n = again.limit(broadcast_rows + 1).count()
     names = [*docs.columns, "n_entities"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_entities long"
-    shared, rows = None, docs
+    shared, rows, own = None, docs, None
     if 0 < n <= broadcast_rows:
         shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["canonical"]): r["surrogate"] for r in again.collect()})
     elif n:
-        mentions = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        mentions = mentions.mapInPandas(_mentions, "doc_id long, kind string, canonical string").distinct()
+        digest, own = free_name(docs, "digest"), free_name(docs, "own")
+        texts = docs.where("text is not null").select(F.sha2("text", 256).alias("digest"), "text")
+        mentions = texts.mapInPandas(_mentions, "digest string, kind string, canonical string").distinct()
         pair = F.struct(F.concat_ws("\0", "kind", "canonical"), "surrogate")
-        own = mentions.join(again, ["kind", "canonical"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(pair)).alias("__own"))
-        rows = docs.join(own, "doc_id", "left")
-    return rows.mapInArrow(_rewrite(key, shared, names), schema)
+        found = mentions.join(again, ["kind", "canonical"]).groupBy("digest").agg(F.map_from_entries(F.collect_list(pair)).alias(own))
+        # a table of its own, so that the join can split texts with many copies; rows without a text are spread
+        found = materialize(found.withColumnRenamed("digest", digest))
+        spread = F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string"))
+        rows = docs.withColumn(digest, F.coalesce(F.sha2("text", 256), spread)).join(found, digest, "left").drop(digest)
+    return rows.mapInArrow(_rewrite(key, shared, names, own), schema)

@@ -51,7 +51,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,40 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other; each later linear model sees the probabilities of the earlier ones.  While
-training, those are *out-of-fold* predictions (folds by a hash of doc_id), so a later model learns how far it may trust
-them; the earlier models are then refitted on the whole sample.  Features are the presence of words and of word beginnings of 4 and 5
-letters, those whose share differs most between the classes of any category; presence makes one word in a long text count
-as much as in a short one.
+training, those are *out-of-fold* predictions (folds by a hash of doc_id): a fold's features are chosen, and its model is
+fitted, without the labels of that fold, so a later model learns how far it may trust the earlier ones.  All are then
+refitted on the whole sample.  Features are the presence of words and of word beginnings of 4 and 5 letters, those whose
+share differs most between the classes; presence makes one word in a long text count as much as in a short one.
 
-The sample is bounded: about ``SAMPLE_DOCS`` labelled documents by a hash of doc_id, ``FEATURES`` features for each
-category.  Everything else reads all rows and whole texts.
+A category's threshold comes from the out-of-fold predictions too: the middle of the range of thresholds that tell most
+labels right (a missed document weighs ``MISSED``).
+
+The sample is bounded: about ``SAMPLE_DOCS`` labelled documents by a hash of doc_id, and fewer if their texts have over
+``SAMPLE_CHARS`` characters; ``FEATURES`` features for each category.  Everything else reads all rows and whole texts.
 
 Defined results: null texts have no feature, so they get the models' base rate; without labels of both classes a category
 is its base rate (0 without any); null labels and labels of unknown documents are not used; of several labels of a
-document the largest counts; each row of the table is predicted, by its own text.
+document the largest counts; each row of the table is predicted, by its own text; a carried column that has the name of a
+prediction is left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, FEATURES, FOLDS = 6000, 400, 5
+SAMPLE_DOCS, SAMPLE_CHARS, FEATURES, FOLDS = 6000, 200_000_000, 400, 5
 #: Least z-score of a feature's difference in share between a category's classes.
 LEAST_Z = 4.5
 #: The chain: (category, column of labels, the value that means yes).
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-#: On held-out labels clean documents stay below 0.11; a single known word gives 0.3 and more.
-THRESHOLD = 0.25
+#: What a missed document weighs against a clean one taken, in choosing a threshold.
+MISSED = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 _DOCS_AT_ONCE = 512
 
@@ -40,8 +45,8 @@ def features_of(text: str | None) -> set[str]:
 
 
 class Chain:
-    def __init__(self, categories: list[str], features: dict[str, int], weights: list[np.ndarray]):
-        self.categories, self.features, self.weights = categories, features, weights
+    def __init__(self, categories: list[str], features: dict[str, int], weights: list[np.ndarray], thresholds: list[float]):
+        self.categories, self.features, self.weights, self.thresholds = categories, features, weights, thresholds
 
     def matrix(self, texts) -> np.ndarray:
         out = np.zeros((len(texts), len(self.features)), dtype=np.float32)
@@ -97,52 +102,78 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 12)
     return w
 
 
-def choose_features(texts: list[str], ys: np.ndarray, most: int = FEATURES) -> list[list[str]]:
-    """For each category, the features of at least 5 documents with the largest z-score of the difference in share."""
-    counts: dict[str, int] = {}
-    ones: list[dict[str, int]] = [{} for _ in ys.T]
-    for text, row in zip(texts, ys):
-        found = features_of(text)
-        for tally in (counts, *(t for t, v in zip(ones, row) if v)):
-            for f in found:
-                tally[f] = tally.get(f, 0) + 1
-    chosen: list[list[str]] = []
-    for y, tally in zip(ys.T, ones):
-        n1 = int(y.sum())
-        n0 = len(y) - n1
-        chosen.append([])
-        if not n1 or not n0:
-            continue
-        z = []
-        for f, c in counts.items():
-            if c >= 5:
-                a, p = tally.get(f, 0), (c + 1) / (n0 + n1 + 2)
-                z.append((abs(a / n1 - (c - a) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), f))
-        chosen[-1] = [f for score, f in sorted(z, key=lambda t: (-t[0], t[1]))[:most] if score >= LEAST_Z]
-    return chosen
+def choose_features(found: list[set[str]], y: np.ndarray, most: int = FEATURES) -> list[str]:
+    """The features of at least 5 documents with the largest z-score of the difference in share."""
+    counts, ones = Counter(), Counter()
+    for own, label in zip(found, y):
+        counts.update(own)
+        if label:
+            ones.update(own)
+    n1 = int(y.sum())
+    n0 = len(y) - n1
+    if not n1 or not n0:
+        return []
+    z = []
+    for f, c in counts.items():
+        if c >= 5:
+            a, p = ones[f], (c + 1) / (n0 + n1 + 2)
+            z.append((abs(a / n1 - (c - a) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), f))
+    return [f for score, f in sorted(z, key=lambda t: (-t[0], t[1]))[:most] if score >= LEAST_Z]
+
+
+def presence(found: list[set[str]], names: list[str]) -> np.ndarray:
+    place = {f: i for i, f in enumerate(names)}
+    out = np.zeros((len(found), len(names)))
+    for row, own in zip(out, found):
+        row[[place[f] for f in own if f in place]] = 1.0
+    return out
+
+
+def choose_threshold(p: np.ndarray, y: np.ndarray, missed: float = MISSED) -> float:
+    """The middle of the widest range of thresholds with the least cost on these predictions."""
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order] == 1
+    # cost of a threshold just above each of the predictions, and below all of them
+    cost = np.concatenate([[0.0], np.cumsum(np.where(y, missed, -1.0))])
+    edges = np.concatenate([[0.0], p, [1.0]])
+    usable = edges[1:] > edges[:-1]
+    if not usable.any():
+        return 0.5
+    best = usable & (cost <= cost[usable].min() + 1e-9)
+    wide = np.where(best, edges[1:] - edges[:-1], -1.0)
+    at = int(wide.argmax())
+    return float((edges[at] + edges[at + 1]) / 2)
 
 
 def fit(texts: list[str], ys: np.ndarray, folds: np.ndarray, categories: list[str]) -> Chain:
-    found = choose_features(texts, ys)
-    names = list(dict.fromkeys(f for own in found for f in own))
-    chain = Chain(categories, {f: i for i, f in enumerate(names)}, [])
-    x = chain.matrix(texts).astype(np.float64)
-    for own, y in zip(found, ys.T):
-        # a category's own features and all earlier probabilities
-        used = np.array([*(chain.features[f] for f in own), *range(len(names), x.shape[1])], dtype=np.int64)
+    found = [features_of(t) for t in texts]
+    earlier = np.empty((len(texts), 0))
+    models, thresholds = [], []
+    for y in ys.T:
         unseen = np.empty(len(y))
         for fold in np.unique(folds):
             out = folds == fold
-            unseen[out] = probability(x[out][:, used], logistic(x[~out][:, used], y[~out]))
-        w = logistic(x[:, used], y)
-        full = np.zeros(x.shape[1] + 1)
-        full[[*used, x.shape[1]]] = w
-        chain.weights.append(full)
-        x = np.hstack([x, unseen[:, None]])
-    return chain
-
-
-def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_docs: int = SAMPLE_DOCS) -> Chain:
+            seen = [f for f, o in zip(found, out) if not o]
+            names = choose_features(seen, y[~out])
+            w = logistic(np.hstack([presence(seen, names), earlier[~out]]), y[~out])
+            held = [f for f, o in zip(found, out) if o]
+            unseen[out] = probability(np.hstack([presence(held, names), earlier[out]]), w)
+        thresholds.append(choose_threshold(unseen, y))
+        names = choose_features(found, y)
+        models.append((names, logistic(np.hstack([presence(found, names), earlier]), y)))
+        earlier = np.hstack([earlier, unseen[:, None]])
+    # one table of features for all models
+    place = {f: i for i, f in enumerate(dict.fromkeys(f for names, _ in models for f in names))}
+    weights = []
+    for k, (names, w) in enumerate(models):
+        full = np.zeros(len(place) + k + 1)
+        full[[place[f] for f in names]] = w[: len(names)]
+        full[len(place) :] = w[len(names) :]
+        weights.append(full)
+    return Chain(categories, place, weights, thresholds)
+
+
+def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Chain:
     columns = [F.max((F.col(c) == v).cast("int")).alias(name) for name, c, v in categories]
     usable = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*columns).dropna()
     n = usable.count()
@@ -151,7 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_docs
     names = [name for name, _, _ in categories]
     # bounded by sample_docs rows, so the labels are the side to ship and the texts are not shuffled
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))
-    rows = joined.select("text", "fold", *names).collect()
+    chars = joined.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    keep = F.pmod(F.xxhash64("doc_id", F.lit("chars")), F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample_chars / max(chars, 1))
+    rows = joined.where(keep).select("text", "fold", *names).collect()
     ys = np.array([[r[c] for c in names] for r in rows], dtype=np.float64).reshape(-1, len(names))
     return fit([r["text"] for r in rows], ys, np.array([r["fold"] for r in rows]), names)
 
@@ -170,12 +203,13 @@ def _predict(shared, carry: list[str]):
 
 
 def classify(docs: DataFrame, chain: Chain, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, p_<category> for each category of the chain, and <category> where it reaches THRESHOLD."""
-    carry = list(carry)
+    """``carry`` columns, p_<category> for each category of the chain, and <category> where it reaches its threshold."""
+    own = {x.lower() for c in chain.categories for x in (c, f"p_{c}")}
+    carry = [c for c in carry if c.lower() not in own]
     need = docs.select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in need.select(*carry).schema)
     schema += "".join(f", p_{c} double" for c in chain.categories)
     run = _predict(docs.sparkSession.sparkContext.broadcast(chain), carry)
     scored = need.mapInArrow(run, schema)
-    flags: list[Column] = [(F.col(f"p_{c}") >= THRESHOLD).alias(c) for c in chain.categories]
+    flags: list[Column] = [(F.col(f"p_{c}") >= t).alias(c) for c, t in zip(chain.categories, chain.thresholds)]
     return scored.select("*", *flags)

@@ -6,13 +6,13 @@ doubling; of each ``WINDOW`` consecutive ones the smallest is chosen, the rightm
 position.  So two texts that share ``WINDOW + K - 1`` units in a row share a fingerprint entry, whose positions place
 the match.  Doubling takes log2 steps over whole arrays: no row is exploded and nothing is quadratic in the text.
 
-``with_next`` pairs each document with the one after it by doc_id (the last with the first).  Rows are dealt to ranges
-of doc_id whose bounds are ids of the table; the first row of each range is sent to the range before it as well, so one
-shuffle of the texts is enough and no task sees the whole order.
+``with_next`` pairs each document with the one after it by doc_id (the last with the first).  Rows are dealt to ranges of
+doc_id whose bounds are ids of the table, rows without an id to ranges of a hash of their text; the first row of each
+range is sent to the range before it as well, so one shuffle of the texts is enough and no task sees the whole order.
 
 Defined results: null texts count as empty; a text without words has an empty fingerprint, one with fewer than K units that
 of the longest runs that doubling can build; likeness of two empty fingerprints is 1, of an empty and another one 0.  Rows are ordered by (doc_id, text);
-rows with a null doc_id come first.  A single row is its own next document.  Other columns are ignored.
+rows with a null doc_id come first, by a hash of their text.  A single row is its own next document.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,9 +68,8 @@ def fingerprints(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def text_of(fingerprint: str | Column) -> Column:
-    """A digest of all hashes and positions."""
-    rows = F.transform(fingerprint, lambda e: F.concat_ws(":", e["hash"].cast("string"), e["position"].cast("string")))
-    return F.sha2(F.array_join(rows, ","), 256)
+    """The entries as HASH:position, in hexadecimal and decimal, in the order of positions."""
+    return F.array_join(F.transform(fingerprint, lambda e: F.concat_ws(":", F.hex(e["hash"]), e["position"].cast("string"))), " ")
 
 
 def hashes(fingerprint: str | Column) -> Column:
@@ -84,19 +83,33 @@ def likeness(a: str | Column, b: str | Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * both / total)
 
 
+def _among(bounds: list[int], key: Column) -> Column:
+    """The number of the range that begins at the largest bound up to ``key``."""
+    return F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b <= key)) - 1
+
+
+def _bounds(rows: DataFrame, key: Column) -> list[int]:
+    """The smallest keys of about as many ranges as there are partitions; none of an empty table."""
+    parts = shuffle_partitions(rows.sparkSession)
+    shares = [i / parts for i in range(1, parts)]
+    about = rows.agg(F.percentile_approx(key, shares, 100 * parts)).first()[0] or []
+    # percentiles pass through doubles, so the ranges' own smallest keys are looked up
+    least = rows.groupBy(_among(sorted(set(about)), key).alias("range")).agg(F.min(key).alias("least"))
+    return sorted(r["least"] for r in least.collect())
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text, real, part): ``real`` is false on the copies that only end a range."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    parts = shuffle_partitions(spark)
-    shares = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.min("key").alias("lo"), F.percentile_approx("key", shares, 100 * parts).alias("q")).first()
-    bounds = sorted({found["lo"], *(found["q"] or [])}) if found["lo"] is not None else [0]
-    at = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("key"))) - 1
-    docs = docs.withColumn("part", at)
-    starts = F.col("key").isin(*bounds)
-    before = F.pmod(F.col("part") - 1, F.lit(len(bounds))).cast("int")
+    # two orders, one after the other: rows without an id by a hash of the text, the others by id
+    lone = F.col("doc_id").isNull()
+    ids = _bounds(docs.where(~lone), F.col("doc_id"))
+    texts = _bounds(docs.where(lone), F.xxhash64("text"))
+    docs = docs.withColumns({"lone": lone, "key": F.when(lone, F.xxhash64("text")).otherwise(F.col("doc_id"))})
+    part = F.when(F.col("lone"), _among(texts, F.col("key"))).otherwise(_among(ids, F.col("key")) + len(texts))
+    docs = docs.withColumn("part", part)
+    starts = F.when(F.col("lone"), F.col("key").isin(texts)).otherwise(F.col("key").isin(ids))
+    before = F.pmod(F.col("part") - 1, F.lit(max(1, len(ids) + len(texts)))).cast("int")
     here = F.struct(F.col("part").alias("part"), F.lit(True).alias("real"))
     there = F.struct(before.alias("part"), F.lit(False).alias("real"))
     rows = docs.select("doc_id", "key", "text", F.explode(F.when(starts, F.array(here, there)).otherwise(F.array(here))).alias("x"))

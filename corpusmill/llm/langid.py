@@ -4,8 +4,8 @@ The pieces of a fixed public vocabulary get one probability for each language, l
 word counts.  A word's likelihood is the sum over *all* its segmentations into pieces (forward algorithm); a text's is the
 product over its words, so each distinct word is summed once and cached.
 
-The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` documents and at most ``SAMPLE_WORDS`` distinct words for
-each language, chosen by a hash of doc_id.  Every language is learned; the model's size is vocabulary x languages, in
+The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` documents for each language, chosen by a hash of doc_id, and
+fewer where they have over ``SAMPLE_CHARS`` characters.  All words of the sample and every language are learned; the model's size is vocabulary x languages, in
 32 bits beyond ``WIDE`` languages.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; so does every text when nothing could
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8_000_000
+#: Cells of the lattices that are worked on at once.
+_CELLS = 2_000_000
 #: Languages up to which tables are 64 bits wide and working sizes fixed; beyond, those shrink as the languages grow.
 WIDE = 64
 #: Letters of a run that are learned from at once.
@@ -149,7 +151,11 @@ def _fit_one(word_counts: dict[str, int], helper: PieceModel) -> np.ndarray:
     by_length = defaultdict(list)
     for w, c in parts.items():
         by_length[len(w)].append((w, c))
-    groups = [(helper.lattice([w for w, _ in g]), np.array([c for _, c in g], dtype=float)) for _, g in sorted(by_length.items())]
+    groups = []
+    for n, g in sorted(by_length.items()):
+        step = max(1, _CELLS // ((n + 1) * min(n, helper.longest)))
+        for some in (g[at : at + step] for at in range(0, len(g), step)):
+            groups.append((helper.lattice([w for w, _ in some]), np.array([c for _, c in some], dtype=float)))
     n = len(helper.pieces) + 1
     p = np.full(n, 1e-3)
     for _ in range(EM_ROUNDS):
@@ -180,26 +186,26 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, pieces: dict[str, int] | None = None) -> PieceModel:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, pieces: dict[str, int] | None = None) -> PieceModel:
     """Learn from rows that are not held out; only their text and non-null lang are used."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).orderBy("lang").collect()
     pieces = pieces or load_pieces()
     if not sizes:
         return fit({}, pieces)
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["n"], sample_chars / max(r["chars"], 1))) for r in sizes], "lang string, share double")
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.join(F.broadcast(shares), "lang").where(u < F.col("share"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w != ''")
     counts = words.groupBy("lang", "w").count().persist()
 
-    def top():
+    def by_language():
         for r in sizes:
-            rows = counts.where(F.col("lang") == r["lang"]).orderBy(F.desc("count"), "w").limit(SAMPLE_WORDS).collect()
+            rows = counts.where(F.col("lang") == r["lang"]).select("w", "count").collect()
             if rows:
-                yield r["lang"], {x["w"]: x["count"] for x in rows}
+                yield r["lang"], {x["w"]: x["count"] for x in sorted(rows)}
 
-    model = fit(top(), pieces)
+    model = fit(by_language(), pieces)
     counts.unpersist()
     return model
 

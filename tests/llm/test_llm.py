@@ -109,6 +109,27 @@ def test_language_forward_sums_all_segmentations():
             assert np.isclose(model.score([word])[0, lang], np.log(expected))
 
 
+def test_language_expectation_maximisation():
+    """One round of EM against enumerated segmentations, and that words of any rank are learned."""
+    pieces = {x: i for i, x in enumerate(["▁", "a", "b", "ab", "▁a", "ba"])}
+    words = {"ab": 3, "aba": 2, "bab": 1}
+
+    def splits(w):
+        return [[]] if not w else [[w[:i], *rest] for i in range(1, len(w) + 1) if w[:i] in pieces for rest in splits(w[i:])]
+
+    p = dict.fromkeys(pieces, 1e-3)
+    for _ in range(langid.EM_ROUNDS):
+        expected = dict.fromkeys(pieces, 0.0)
+        for w, c in words.items():
+            ways = [(s, math.prod(p[x] for x in s)) for s in splits("▁" + w)]
+            for s, weight in ways:
+                for x in s:
+                    expected[x] += c * weight / sum(v for _, v in ways)
+        p = {x: v / sum(expected.values()) + langid._FLOOR for x, v in expected.items()}
+    model = langid.fit({"x": words}, pieces)
+    assert np.allclose([model.p[i, 0] for i in pieces.values()], list(p.values()))
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = queries.op2_language(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

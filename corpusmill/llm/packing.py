@@ -1,7 +1,8 @@
 """Best-fit sequence packing planned over the histogram of lengths.
 
-Documents are tokenised once, by the ``tokenizers`` file of a fixed public vocabulary without added special tokens (the
-string of a special token in a text gives its id, as that library does by default), then id 0.  Longer ones are cut
+Documents are tokenised once, with the ids that the ``tokenizers`` file of a fixed public vocabulary gives without added
+special tokens: the string of a special token in a text gives its id.  The same vocabulary's rank form encodes several
+times faster, so it does the work, with the special tokens of that file.  Then comes id 0.  Longer ones are cut
 into pieces of the capacity, the first one shorter.  Best-fit decreasing then runs over the *counts* of the at most ``capacity``
 different lengths: sequences with equal contents are one group, so the work and the plan depend on the capacity and not
 on the number of documents.  The pieces take their planned slots by joining on their rank within their length; ranks are
@@ -13,11 +14,13 @@ is packed as such; pieces of equal length are ranked by doc_id, piece and checks
 
 from __future__ import annotations
 
-import os
+import base64
+import json
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
-import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -26,56 +29,49 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-CAPACITY, TOKENIZER, END_ID = 2048, "byte_bpe_50k.json", 0
+CAPACITY, TOKENIZER, RANKS, END_ID = 2048, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 0
 #: Pieces in a salted part of a length, and parts of all lengths beyond one each: the counts that reach the driver are few.
-PART_PIECES, MAX_PARTS = 50_000, 1 << 15
-#: Characters that are encoded at once.
-_CHARS_AT_ONCE = 1 << 20
+PART_PIECES, MAX_PARTS = 1000, 1 << 15
 #: A plan has a few rows a length; more than this and it isn't broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def encoder(path: str | None = None):
-    """Function giving the ids of each text as little-endian unsigned 32-bit numbers."""
-    from tokenizers import Tokenizer
+def encoder(path: str | None = None, ranks: str | None = None):
+    """Function giving a text's ids as little-endian unsigned 32-bit bytes, with a final ``END_ID``."""
+    import tiktoken
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores are all in use
-    tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+    with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    with open(ranks or public_tokenizers.path(RANKS), "rb") as file:
+        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    bpe = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(text: str) -> bytes:
+        ids = array("I", bpe.encode(text, allowed_special="all"))
+        ids.append(END_ID)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     return encode
 
 
-def _few(texts) -> list[tuple[int, int]]:
-    """Ranges of texts of about ``_CHARS_AT_ONCE`` characters."""
-    out, start, size = [], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 1
-        if size >= _CHARS_AT_ONCE:
-            out.append((start, i + 1))
-            start, size = i + 1, 0
-    return [*out, (start, len(texts))] if start < len(texts) else out
-
-
 def _cut(capacity: int, path: str | None, with_ids: bool):
-    end = np.array([END_ID], dtype="<u4")
     names = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches):
         encode = encoder(path)
         for pdf in batches:
-            for begin, finish in _few(pdf["text"]):
-                few, rows = pdf.iloc[begin:finish], []
-                for doc, no_id, ids in zip(few["doc_id"], few["no_id"], encode([t or "" for t in few["text"]])):
-                    ids = np.concatenate([ids, end])
-                    n = len(ids)
-                    first = (n - 1) % capacity + 1
-                    for piece, start in enumerate([0, *range(first, n, capacity)]):
-                        part = ids[start : first if piece == 0 else start + capacity].tobytes()
-                        rows.append((doc, no_id, piece, start, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-                yield pd.DataFrame(rows, columns=names)
+            rows = []
+            for doc, no_id, text in zip(pdf["doc_id"], pdf["no_id"], pdf["text"]):
+                ids = encode(text or "")
+                n = len(ids) // 4
+                first = (n - 1) % capacity + 1
+                for piece, start in enumerate([0, *range(first, n, capacity)]):
+                    stop = first if piece == 0 else start + capacity
+                    part = ids[4 * start : 4 * stop]
+                    rows.append((doc, no_id, piece, start, stop - start, zlib.crc32(part), *([part] if with_ids else [])))
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 

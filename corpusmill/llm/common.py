@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a map of numbers, and of its chunks.
+MAP_BITS, CHUNK_BITS = 26, 15
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -86,6 +88,34 @@ def one_text_an_id(docs: DataFrame) -> DataFrame:
     return docs.join(again, "doc_id", "left_anti").unionByName(chosen)
 
 
+def _chunks(batches):
+    """(chunk, bits) of the map, where a bit is set."""
+    bits = np.zeros(1 << MAP_BITS, dtype=bool)
+    for pdf in batches:
+        bits[pdf["bit"].to_numpy()] = True
+    size = 1 << CHUNK_BITS
+    used = np.flatnonzero(bits.reshape(-1, size).any(axis=1))
+    yield pd.DataFrame({"chunk": used, "bits": [np.packbits(bits[c * size : (c + 1) * size]).tobytes() for c in used]})
+
+
+def bit_map(rows: DataFrame, number: str):
+    """Broadcast map of the low bits of a column of longs: its size is fixed, so collisions only cost time."""
+    spark = rows.sparkSession
+    bit = F.col(number).bitwiseAND(F.lit((1 << MAP_BITS) - 1)).cast("int")
+    dealt = rows.select(bit.alias("bit")).repartition(shuffle_partitions(spark), F.shiftright("bit", CHUNK_BITS))
+    size, bits = 1 << (CHUNK_BITS - 3), bytearray(1 << (MAP_BITS - 3))
+    for r in dealt.mapInPandas(_chunks, "chunk int, bits binary").collect():
+        bits[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
+    return spark.sparkContext.broadcast(bytes(bits))
+
+
+def in_map(shared, numbers: np.ndarray) -> np.ndarray:
+    """Whether the map has the low bits of each number (int64 or uint64)."""
+    bits = np.frombuffer(shared.value, dtype=np.uint8)
+    bit = (numbers.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+    return (bits[bit >> 3] >> (7 - (bit & 7))) & 1 == 1
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge.
 

@@ -7,7 +7,7 @@ similarity at or above the threshold falls below ``MISS``.  Survivors are confir
 
 Only connectivity is wanted, so a bucket of m texts never yields m*m pairs: first each bucket proposes its pivot to its
 members.  Pivots come first in one order of all texts, so similar texts meet few of them; each text is tested against the
-pivot that it meets in most bands, and of the other proposals only those between different components are.  Buckets that still hold several
+pivot that it meets in most bands.  Buckets that still hold several
 components are cut into tiles, with the bucket's largest component on one side only, so it is never compared with itself.
 A first pass carries signatures and keeps the texts with a promising partner; a second one carries their sets too, and
 tests, confirms and links inside the tile, best pairs first.  Only a spanning forest leaves a tile, never its pairs.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, groups_of, in_frames, materialize, mix64, shuffle_partitions, word_hashes
+from .common import bit_map, connected_components, gram_hashes, groups_of, in_frames, in_map, materialize, mix64, shuffle_partitions, word_hashes
 
 PERMUTATIONS, BANDS = 128, 32
 ROWS = PERMUTATIONS // BANDS
@@ -81,8 +81,9 @@ def _describe(k: int):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in full])
                 keys = mix64(sig.reshape(-1, ROWS).astype(np.uint64) * _multipliers(ROWS))
-                keys = np.bitwise_xor.reduce(keys, axis=1).view(np.int64).reshape(-1, BANDS)
-                low = sig.astype(np.uint8)
+                keys = np.bitwise_xor.reduce(keys, axis=1).reshape(-1, BANDS)
+                keys = mix64(keys + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)  # a key belongs to one band
+                low = np.hstack([sig.astype(np.uint8), keys.astype("<u4").view(np.uint8).reshape(len(sig), -1)])
                 d1, d2 = [None] * len(sets), [None] * len(sets)
                 bands, sigs = [None] * len(sets), [None] * len(sets)
                 for row, i in enumerate(full):
@@ -104,31 +105,42 @@ def _describe(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted):
+    """Full sets of the texts whose ids the map may hold."""
+
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "shingles": [shingle_set(t, k).tobytes() for t in pdf["text"]]}
-            )
+            some = pdf[in_map(wanted, mix64(pdf["doc_id"].to_numpy().view(np.uint64)))]
+            yield pd.DataFrame({"doc_id": some["doc_id"], "shingles": [shingle_set(t, k).tobytes() for t in some["text"]]})
 
     return run
 
 
+def _mixed(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"mixed": mix64(pdf["doc_id"].to_numpy().view(np.uint64)).view(np.int64)})
+
+
+def _unpacked(sigs) -> tuple[np.ndarray, np.ndarray]:
+    """(low eighth of each hash, so that matches are never missed; low half of each band's key) of packed signatures."""
+    both = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(-1, PERMUTATIONS + 4 * BANDS)
+    return both[:, :PERMUTATIONS], np.ascontiguousarray(both[:, PERMUTATIONS:]).view("<u4")
+
+
 def _promising(threshold: float):
-    """Sequential test of signature batches; the bytes are the low eighth of each hash, so matches are never missed."""
+    """Sequential test of signature batches."""
     least = {n: fewest_matches(n, threshold) for n in range(BATCH, PERMUTATIONS + 1, BATCH)}
 
     def run(batches):
         for pdf in batches:
-            a = np.frombuffer(b"".join(pdf["sig_a"]), dtype=np.uint8).reshape(-1, PERMUTATIONS)
-            b = np.frombuffer(b"".join(pdf["sig_b"]), dtype=np.uint8).reshape(-1, PERMUTATIONS)
+            (a, _), (b, _) = _unpacked(pdf["sig_a"]), _unpacked(pdf["sig_b"])
             alive = np.arange(len(pdf))
             matches = np.zeros(len(pdf), dtype=np.int64)
             for n, fewest in least.items():
                 s = slice(n - BATCH, n)
                 matches[alive] += (a[alive, s] == b[alive, s]).sum(axis=1)
                 alive = alive[matches[alive] >= fewest]
-            yield pdf.iloc[alive][["a", "b"]].assign(matches=matches[alive])
+            yield pdf.iloc[alive]
 
     return run
 
@@ -145,9 +157,7 @@ def _verified(percent: int):
     test, check = _promising(percent / 100), _confirmed(percent)
 
     def run(batches):
-        for pdf in batches:
-            alive = next(test(iter([pdf]))).index
-            yield from check(iter([pdf.loc[alive]]))
+        yield from check(test(batches))
 
     return run
 
@@ -163,14 +173,14 @@ def _confirmed(percent: int):
     return run
 
 
-def _alive(left: dict, right: dict, band: int, least: dict[int, int]) -> tuple[np.ndarray, ...]:
+def _alive(left: dict, right: dict, key: int, least: dict[int, int]) -> tuple[np.ndarray, ...]:
     """(row of left, row of right, matches) of the pairs of different components that pass the sequential test.
 
     Pairs that an earlier band's bucket holds are left to it.
     """
-    a, b = (np.frombuffer(b"".join(d["sig"]), dtype=np.uint8).reshape(-1, PERMUTATIONS) for d in (left, right))
+    (a, keys_a), (b, keys_b) = _unpacked(left["sig"]), _unpacked(right["sig"])
     ca, cb = left["component"], right["component"]
-    wide = [np.ascontiguousarray(x).view(f"u{ROWS}") for x in (a, b)]
+    band = int(np.flatnonzero(keys_a[0] == np.uint32(int(key) & 0xFFFFFFFF))[0])
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     found = []
     step = max(1, (1 << 20) // max(1, len(cb)))
@@ -178,7 +188,7 @@ def _alive(left: dict, right: dict, band: int, least: dict[int, int]) -> tuple[n
         rows = slice(at, at + step)
         on = ca[rows, None] != cb[None, :]
         for column in range(band):
-            on &= wide[0][rows, column, None] != wide[1][None, :, column]
+            on &= keys_a[rows, column, None] != keys_b[None, :, column]
         matches = np.zeros(on.shape, dtype=np.uint8)
         for n, fewest in least.items():
             if not on.any():
@@ -192,12 +202,12 @@ def _alive(left: dict, right: dict, band: int, least: dict[int, int]) -> tuple[n
 
 
 def _tile_sides(batches):
-    """(band, key, left, right) of the tiles that have both sides."""
-    for (band, key, _, _), rows in groups_of(batches, _TILE):
+    """(key, left, right) of the tiles that have both sides."""
+    for (key, _, _), rows in groups_of(batches, _TILE):
         side = rows["side"]
         left, right = ({c: v[side != other] for c, v in rows.items()} for other in (1, 0))
         if len(left["side"]) and len(right["side"]):
-            yield band, key, left, right
+            yield key, left, right
 
 
 def _with_partner(threshold: float):
@@ -205,11 +215,11 @@ def _with_partner(threshold: float):
     least = {n: fewest_matches(n, threshold) for n in range(BATCH, PERMUTATIONS + 1, BATCH)}
 
     def found(batches):
-        for band, key, left, right in _tile_sides(batches):
-            i, j, _ = _alive(left, right, band, least)
+        for key, left, right in _tile_sides(batches):
+            i, j, _ = _alive(left, right, key, least)
             if len(i):
                 ids = np.union1d(left["doc_id"][i], right["doc_id"][j])
-                yield {"band": np.full(len(ids), band), "key": np.full(len(ids), key), "doc_id": ids}
+                yield {"key": np.full(len(ids), key), "doc_id": ids}
 
     return lambda batches: in_frames(found(batches))
 
@@ -219,8 +229,8 @@ def _forest(percent: int):
     least = {n: fewest_matches(n, percent / 100) for n in range(BATCH, PERMUTATIONS + 1, BATCH)}
 
     def run(batches):
-        for band, _, left, right in _tile_sides(batches):
-            i, j, matches = _alive(left, right, band, least)
+        for key, left, right in _tile_sides(batches):
+            i, j, matches = _alive(left, right, key, least)
             ids, comps = ([d[c].tolist() for d in (left, right)] for c in ("doc_id", "component"))
             sets = [[np.frombuffer(x, dtype=np.uint64) for x in d["shingles"]] for d in (left, right)]
             root, links = {}, []
@@ -248,15 +258,15 @@ def _tiled(rows: DataFrame, weight: str, capacity: int) -> DataFrame:
     ``y`` numbers parts of the texts outside the bucket's largest component, ``x`` parts of that component and, after
     them, the same parts again.  Side 0 holds x, side 1 holds y, and 2 both, where a part meets itself.
     """
-    own = rows.groupBy("band", "key", "component").agg(F.sum(weight).alias("w"))
-    sized = own.groupBy("band", "key").agg(
+    own = rows.groupBy("key", "component").agg(F.sum(weight).alias("w"))
+    sized = own.groupBy("key").agg(
         F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("inner"), F.sum("w").alias("all"), F.count("*").alias("n")
     )
     part = lambda w: F.greatest(F.lit(1), F.ceil(w / capacity)).cast("int")
     sized = materialize(sized.where("n > 1").select(
-        "band", "key", "main", part(F.col("inner")).alias("gm"), part(F.col("all") - F.col("inner")).alias("go")
+        "key", "main", part(F.col("inner")).alias("gm"), part(F.col("all") - F.col("inner")).alias("go")
     ))
-    rows = rows.join(sized, ["band", "key"])
+    rows = rows.join(sized, "key")
     mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     at = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.alias("side"))
     zero, one, two = (F.lit(v).cast("int") for v in range(3))
@@ -274,7 +284,7 @@ def _tiled(rows: DataFrame, weight: str, capacity: int) -> DataFrame:
     return tiles.repartition(shuffle_partitions(rows.sparkSession), *_TILE).sortWithinPartitions(*_TILE)
 
 
-_TILE = ["band", "key", "x", "y"]
+_TILE = ["key", "x", "y"]
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -288,32 +298,12 @@ class _Linker:
         self.active, self.percent = active, percent
         self.components: DataFrame | None = None
 
-    def promising(self, pairs: DataFrame) -> DataFrame:
-        sig = self.active.select("doc_id", "sig")
-        both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-        return both.select("a", "b", "sig_a", "sig_b").mapInPandas(
-            _promising(self.percent / 100), "a long, b long, matches long"
-        )
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Test and check in one pass: for pairs most of which will stand."""
         full = self.active.select("doc_id", "sig", "shingles")
         both = pairs.join(full.toDF("a", "sig_a", "set_a"), "a").join(full.toDF("b", "sig_b", "set_b"), "b")
         return both.select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(_verified(self.percent), "a long, b long")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        full = self.active.select("doc_id", "shingles")
-        both = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b")
-        return both.select("a", "b", "set_a", "set_b").mapInPandas(_confirmed(self.percent), "a long, b long")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are still in different components."""
-        if self.components is None:
-            return pairs
-        c = self.components
-        both = pairs.join(c.toDF("a", "ca"), "a", "left").join(c.toDF("b", "cb"), "b", "left")
-        return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(pairs.columns)
-
     def add(self, links: DataFrame) -> None:
         if self.components is None:
             self.components = materialize(connected_components(links))
@@ -337,38 +327,45 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     )
     base = materialize(described.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id"))
     known = base.where("n_shingles > 0 and doc_id is not null")
+    # repeated rows of an id count once; without any, nothing is shuffled for that
+    again = materialize(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = bool(again.take(1))
+    if repeated:
+        once = known.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+        known = known.join(again, "doc_id", "left_anti").unionByName(once)
     # tables of their own, so that the joins with them can split a hot class or bucket
     classes = materialize(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     members = known.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"])
     members = materialize(members.select("doc_id", "rep").distinct())
     reps = known.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
 
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    pivots = rows.groupBy("band", "key").agg(
+    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    pivots = rows.groupBy("key").agg(
         F.count("*").alias("size"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("pivot")
     )
-    buckets = materialize(rows.join(materialize(pivots.where("size > 1")), ["band", "key"]))
-
-    ids = buckets.select("doc_id").distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").mapInPandas(_sets(k), "doc_id long, shingles binary")
-    active = materialize(texts.distinct().join(reps.select("doc_id", "sig", "n_shingles"), "doc_id"))
+    buckets = materialize(rows.join(materialize(pivots.where("size > 1")), "key"))
+
+    ids = materialize(buckets.select("doc_id").distinct())
+    wanted = bit_map(ids.mapInPandas(_mixed, "mixed long"), "mixed")
+    texts = docs.where("doc_id is not null and text is not null").mapInPandas(_sets(k, wanted), "doc_id long, shingles binary")
+    texts = texts.distinct() if repeated else texts
+    some = reps.select("doc_id", "sig", "n_shingles").join(ids, "doc_id")
+    active = materialize(texts.join(some, "doc_id"))
     link = _Linker(active, percent)
 
-    # 1. each text against the pivot that it meets in most bands, then the other proposals across components
-    met = materialize(buckets.where("doc_id != pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("bands")))
+    # 1. each text against the pivot that it meets in most bands
+    met = buckets.where("doc_id != pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("bands"))
     best = met.groupBy("doc_id").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("p"))).alias("m"))
     link.add(link.verified(_ordered(best.select("doc_id", (-F.col("m.p")).alias("pivot")), "doc_id", "pivot")))
-    rest = materialize(link.apart(_ordered(met, "doc_id", "pivot")))
-    link.add(link.confirmed(materialize(link.promising(rest).select("a", "b"))))
 
     # 2. buckets that still hold several components
     comp = link.components.toDF("doc_id", "component")
-    seen = buckets.select("band", "key", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = seen.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    seen = materialize(seen.join(mixed.where("lo < hi").select("band", "key"), ["band", "key"]))
+    seen = buckets.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    seen = materialize(seen.join(mixed.where("lo < hi").select("key"), "key"))
     tiles = _tiled(seen.join(active.select("doc_id", "sig"), "doc_id").withColumn("one", F.lit(1)), "one", TILE_TEXTS)
-    some = tiles.mapInPandas(_with_partner(percent / 100), "band int, key long, doc_id long").distinct()
-    seen = materialize(seen.join(some, ["band", "key", "doc_id"]))
+    some = tiles.mapInPandas(_with_partner(percent / 100), "key long, doc_id long").distinct()
+    seen = materialize(seen.join(some, ["key", "doc_id"]))
     tiles = _tiled(seen.join(active, "doc_id"), "n_shingles", TILE_SHINGLES)
     link.add(tiles.mapInPandas(_forest(percent), "a long, b long"))
 

@@ -56,12 +56,17 @@ def pad(ids: Column, to: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), to - F.size(ids)))
 
 
-def template_render(ms: Column, tools: Column | None = None, generation_prompt: bool = False, thinking: bool = True) -> Column:
-    """ChatML of array<struct<role, content[, reasoning_content, tool_calls]>>.
+def template_render(
+    ms: Column, tools: Column | None = None, generation_prompt: bool = False, thinking: bool = True, fields: tuple[str, ...] = ()
+) -> Column:
+    """ChatML of array<struct<role, content[, reasoning_content, tool_calls]>>; ``fields`` names the optional ones there are.
 
-    Give ``ms`` as a plain column: it is read at several places.  Reasoning is what stands before ``</think>``; it is kept
+    Tool calls are array<struct<name, arguments>> with the arguments as JSON text.  Given reasoning is used as it is.
+
+    Give ``ms`` as a plain column: it is read at several places.  Else reasoning is what stands before ``</think>``; it is kept
     only after the last user turn that is not a tool response; tool turns in a row share one user block.
     """
+    # The control strings and marks of the template, here and below.
     n = F.size(ms)
     think_end = F.lit("</think>")
     tool_reply = lambda m: m["content"].startswith("<tool_response>") & m["content"].endswith("</tool_response>")
@@ -76,9 +81,18 @@ def template_render(ms: Column, tools: Column | None = None, generation_prompt:
         thought = F.regexp_replace(F.regexp_replace(before, r"\n+$", ""), r"^(?s:.*)<think>", "")
         thought = F.when(has, F.regexp_replace(thought, r"^\n+", "")).otherwise("")
         reply = F.when(has, F.regexp_replace(F.split_part(content, think_end, F.lit(-1)), r"^\n+", "")).otherwise(content)
+        if "reasoning_content" in fields:
+            given = m["reasoning_content"]
+            thought, reply = F.coalesce(given, thought), F.when(given.isNotNull(), content).otherwise(reply)
         kept = (at > last_query) & ((at == n) | (thought != ""))
         block = F.concat(F.lit("<think>\n"), F.regexp_replace(thought, r"^\n+|\n+$", ""), F.lit("\n</think>\n\n"))
-        assistant = F.concat(F.lit("<|im_start|>assistant\n"), F.when(kept, F.concat(block, reply)).otherwise(reply), F.lit("<|im_end|>\n"))
+        shown = F.when(kept, F.concat(block, F.regexp_replace(reply, r"^\n+", ""))).otherwise(reply)
+        if "tool_calls" in fields:
+            # The wording of the template.
+            call = lambda c: F.concat(F.lit('<tool_call>\n{"name": "'), c["name"], F.lit('", "arguments": '), c["arguments"], F.lit("}\n</tool_call>"))
+            calls = F.array_join(F.transform(F.coalesce(m["tool_calls"], F.array()), call), "\n")
+            shown = F.concat(shown, F.when((reply != "") & (calls != ""), "\n").otherwise(""), calls)
+        assistant = F.concat(F.lit("<|im_start|>assistant\n"), shown, F.lit("<|im_end|>\n"))
         neighbour = lambda k: F.coalesce(F.get(ms, i + k)["role"] == "tool", F.lit(False))
         opens = F.when((at == 1) | ~neighbour(-1), F.lit("<|im_start|>user")).otherwise("")
         closes = F.when((at == n) | ~neighbour(1), F.lit("<|im_end|>\n")).otherwise("")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SKIP = {"script", "style", "head", "noscript"}
+#: Elements whose text is not shown.  ``head`` is none of them: its end tag may be left out.
+_SKIP = {"script", "style", "title", "noscript", "template"}
 _BLOCK = {"p", "div", "section", "article", "nav", "footer", "header", "ul", "ol", "table", "tr", "blockquote", "main"}
 
 

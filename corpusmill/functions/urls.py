@@ -29,18 +29,31 @@ def url_is_pdf(url: Column, content_type: Column | None = None) -> Column:
     return pdf if content_type is None else pdf | F.coalesce(F.contains(content_type, F.lit("application/pdf")), F.lit(False))
 
 
+def without_dots(url: Column) -> Column:
+    """The URL with ``.`` and ``..`` segments of its path resolved; those above the root are dropped."""
+    parts = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$"
+    origin, path, rest = (F.regexp_extract(url, parts, i) for i in (1, 2, 3))
+    segments = F.slice(F.split(path, "/"), 2, 1 << 30)
+    shorter = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, s: F.when(s == "..", shorter(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    tail = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(origin, F.lit("/"), F.array_join(kept, "/"), tail, rest)).otherwise(url)
+
+
 def url_absolute(base: Column, href: Column) -> Column:
-    """The link resolved against its page for absolute, scheme-, root- and path-relative links."""
+    """The link resolved against its page: absolute and scheme-relative ones as they are, others without dot segments."""
     scheme = F.regexp_extract(base, r"^([a-zA-Z]+):", 1)
     origin = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+)", 1)
     folder = F.regexp_extract(base, r"^[a-zA-Z]+://[^/?#]+((?:/[^/?#]*)*/)", 1)
     return (
         F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?") | href.startswith("#"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
+        .when(href.startswith("/"), without_dots(F.concat(origin, href)))
+        .when(href.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href == "", base)
-        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href))
+        .otherwise(without_dots(F.concat(origin, F.when(folder == "", "/").otherwise(folder), href)))
     )
 
 
@@ -59,8 +72,11 @@ def language_kept(lang: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
-    """All ``a[href]`` in page order, repeated ones too."""
-    return F.regexp_extract_all(html, F.lit(r"<a\s[^>]*href=\"([^\"]*)\""), F.lit(1))
+    """The ``href`` of all ``a`` elements in page order, repeated ones too: quoted or not, tag and attribute in any case."""
+    other = r"""(?:"[^"]*"|'[^']*'|[^>"'])*?"""
+    found = F.regexp_extract_all(html, F.lit(rf"""(?i)<a(?=\s){other}\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
+    bare = lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return F.transform(found, lambda v: F.replace(bare(v), F.lit("&amp;"), F.lit("&")))
 
 
 def md_links(md: Column) -> Column:

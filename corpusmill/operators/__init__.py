@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +47,32 @@ def shingles(docs: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("doc_id", F.explode(F.array_distinct(grams)).alias("shingle"))
 
 
-def minhash_pairs(docs: DataFrame, threshold: float = 0.85, permutations: int = 128, rows: int = 8, k: int = 5) -> DataFrame:
-    """(a, b, jaccard) at the threshold: seeded hashes, bands as an equi-join, exact verification."""
-    grams = docs.transform(shingles, k).withColumn("h", F.xxhash64("shingle"))
-    mins = [F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(permutations)]
-    sets = grams.groupBy("doc_id").agg(F.collect_set("h").alias("s"), *mins)
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))) for b in range(permutations // rows)))
-    keys = sets.select("doc_id", F.explode(bands).alias("band"))
+def minhash_pairs(docs: DataFrame, threshold: float = 0.85, permutations: int = 128, rows: int = 4, k: int = 5) -> DataFrame:
+    """(a, b, jaccard) at the threshold.  Shingles stay in arrays, so nothing is shuffled but band keys; texts with equal sets
+    meet once, by a digest, and their copies are joined on at the end; candidates are verified exactly."""
+    words = F.filter(F.split("text", r"[ \t\n\f\r]+"), lambda w: w != "")
+    grams = F.transform(F.sequence(F.lit(1), F.col("n") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
+    sets = docs.select("doc_id", words.alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= k)
+    sets = sets.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("s")).withColumn("d", F.xxhash64(F.lit(1), "s"))
+    members = sets.select("doc_id", "d", F.xxhash64("s").alias("d2"))
+    reps = members.groupBy("d", "d2").agg(F.min("doc_id").alias("rep"))
+    members = members.join(reps, ["d", "d2"]).select("rep", "doc_id")
+    one = sets.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # xor with a constant orders all hashes anew, so the smallest is a sample of the set like any min-hash
+    rng = random.Random(permutations)
+    least = [F.array_min(F.transform("s", lambda h, c=c: h.bitwiseXOR(F.lit(c)))) for c in (rng.getrandbits(64) - (1 << 63) for _ in range(permutations))]
+    bands = F.array(*(F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(permutations // rows)))
+    keys = one.select("doc_id", F.explode(bands).alias("band"))
     left, right = keys.toDF("a", "band"), keys.toDF("b", "band")
     pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
-    full = sets.select("doc_id", "s")
+    full = one.select("doc_id", "s")
     both = pairs.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    near = both.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    near = near.unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")))
+    x, y = members.toDF("a", "x"), members.toDF("b", "y")
+    out = near.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def seen_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -152,7 +167,46 @@ def pack_blocks(tokens: DataFrame, block: int = 2048, end_id: int = 0, order: st
     starts_df = F.broadcast(spark.createDataFrame(starts or [(0, 0)], "part int, before long"))
     w = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum(F.size("ids")).over(w), F.lit(0))).join(starts_df, "part")
-    flat = rows.select((F.col("before") + F.col("within")).alias("at"), F.posexplode("ids").alias("i", "id"))
-    flat = flat.withColumn("at", F.col("at") + F.col("i"))
-    blocks = flat.groupBy(F.floor(F.col("at") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("x"))
-    return blocks.select("block", F.transform("x", lambda t: t["id"]).alias("ids"))
+    at, size = F.col("before") + F.col("within"), F.size("ids")
+    rows = rows.select(at.alias("at"), "ids", (at + size).alias("end"))
+    first, last = F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block)
+    rows = rows.select("at", "ids", "end", F.explode(F.sequence(first, last)).alias("block"))
+    # a document's part of a block is one slice of its array
+    start, stop = F.greatest("at", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
+    piece = F.slice("ids", (start - F.col("at") + 1).cast("int"), (stop - start).cast("int"))
+    slices = rows.select("block", F.struct(start.alias("at"), piece.alias("ids")).alias("piece"))
+    blocks = slices.groupBy("block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return blocks.select("block", F.flatten(F.transform("pieces", lambda t: t["ids"])).alias("ids"))
+
+
+def _ranges(rows: DataFrame, key: Column, n: int) -> Column:
+    """The number of the range of ``key``, among about ``n`` of equal size, that a row lies in."""
+    cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda b: b <= key))
+
+
+def lag_equal(rows: DataFrame, key: str, value: str, ranges: int = 200) -> DataFrame:
+    """Add ``same``: whether the row before in the order of ``key`` (a distinct long) has the same value.  Each range of the
+    key is ordered by itself; only the last value of each range is gathered."""
+    rows = rows.withColumn("__part", _ranges(rows, F.col(key), ranges))
+    before, earlier = None, []
+    for r in sorted(rows.groupBy("__part").agg(F.max_by(value, key).alias("last")).collect()):
+        earlier.append((r["__part"], before))
+        before = r["last"]
+    earlier = F.broadcast(rows.sparkSession.createDataFrame(earlier or [(0, None)], "__part int, __before string"))
+    order = Window.partitionBy("__part").orderBy(key)
+    rows = rows.withColumn("__n", F.row_number().over(order)).withColumn("__lag", F.lag(value).over(order)).join(earlier, "__part")
+    same = F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__lag")) == F.col(value)
+    return rows.withColumn("same", F.coalesce(same, F.lit(False))).drop("__part", "__n", "__lag", "__before")
+
+
+def global_rank(rows: DataFrame, measure: str, key: str, ranges: int = 200) -> DataFrame:
+    """Add ``rank`` from 1 in the order of (measure, key), key a distinct long.  Rows are ranked within ranges of the key for
+    each measure, so a frequent measure is split; the ranges' counts, few as they are, are summed in order."""
+    rows = rows.withColumn("__part", _ranges(rows, F.col(key), ranges))
+    sums = rows.groupBy(measure, "__part").agg(F.count("*").alias("__c"))
+    order = Window.orderBy(measure, "__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__c").over(order), F.lit(0))).drop("__c")
+    within = F.row_number().over(Window.partitionBy(measure, "__part").orderBy(key))
+    rows = rows.withColumn("__w", within).join(sums, [measure, "__part"])
+    return rows.withColumn("rank", (F.col("__before") + F.col("__w")).cast("long")).drop("__part", "__w", "__before")

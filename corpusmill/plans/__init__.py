@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import operators as O
+from .. import sources as S
 from ..functions import chat as C
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.providers import second_pass
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,7 +94,9 @@ def _filter_query(name: str, column, sql: str) -> None:
 _filter_query("flt_harmful", lambda: ~F.col("text").rlike(T.any_of(O.HARMFUL)), f"NOT regexp_matches(text, '(?i)(?:{_ALT(O.HARMFUL)})')")
 _filter_query("flt_offensive", lambda: ~F.col("text").rlike(T.any_of(("scum", "moron"), True)), r"NOT regexp_matches(text, '(?i)\b(?:scum|moron)\b')")
 _filter_query("flt_slang", lambda: ~F.col("text").rlike(T.any_of(O.SLANG, True)), "NOT regexp_matches(text, '(?i)\\b(?:finna|gonna|lemme|wanna|ain''t)\\b')")
-_filter_query("flt_length", lambda: F.char_length("text").between(*O.LENGTH), "length(text) BETWEEN 200 AND 100000")
+query(f"SELECT doc_id FROM {_CLEANED} WHERE length(c) BETWEEN 200 AND 100000", "flt_length")(
+    lambda s, d: _docs(s, d).select("doc_id", T.apply_rules(F.col("text"), T.all_rules()).alias("c")).where(F.char_length("c").between(*O.LENGTH)).select("doc_id")
+)
 _filter_query("flt_empty_md", lambda: F.trim("text") != "", "trim(text) <> ''")
 query("SELECT doc_id, length(text) AS n FROM documents", "char_len")(lambda s, d: _t(s, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")))
 
@@ -129,7 +135,10 @@ _LANG = "lower(regexp_extract(html, '(?i)<html[^>]*\\slang=[\"'']?([a-zA-Z-]+)',
 _page_query("html_lang", f"CASE WHEN {_LANG} <> '' THEN {_LANG} ELSE 'unknown-assumed-en' END AS out", lambda: U.html_lang(F.col("html")).alias("out"))
 query(f"SELECT page_id FROM pages WHERE {_LANG} = '' OR {_LANG} LIKE 'en%'", "flt_language")(lambda s, d: _t(s, d, "pages").where(U.language_kept(U.html_lang(F.col("html")))).select("page_id"))
 query("SELECT page_id FROM pages WHERE NOT regexp_matches(lower(url), 'feed|/de/')", "flt_url_blacklist")(lambda s, d: _t(s, d, "pages").where(~F.col("url").rlike(T.any_of(("feed", "/de/")))).select("page_id"))
-_HREFS = "(SELECT page_id, url, unnest(h) AS href, unnest(range(len(h)))::INTEGER AS pos FROM (SELECT *, regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1) AS h FROM pages))"
+# the pages' own anchors, cut out of the text without a pattern
+_CUT = """list_transform(list_filter(string_split(html, '<a ')[2:], lambda x: contains(string_split(x, '>')[1], 'href="')),
+ lambda x: string_split(string_split(string_split(x, '>')[1], 'href="')[2], '"')[1])"""
+_HREFS = f"(SELECT page_id, url, unnest(h) AS href, unnest(range(len(h)))::INTEGER AS pos FROM (SELECT *, {_CUT} AS h FROM pages))"
 _hrefs = lambda s, d: _t(s, d, "pages").select("page_id", "url", F.posexplode(U.html_links(F.col("html"))).alias("pos", "href"))
 query(f"SELECT page_id, pos, href FROM {_HREFS}", "html_links")(lambda s, d: _hrefs(s, d).select("page_id", "pos", "href"))
 _ABS = "CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href ELSE href END"
@@ -137,11 +146,14 @@ query(f"SELECT page_id, pos, {_ABS} AS out FROM {_HREFS}", "url_absolute")(lambd
 query(f"SELECT doc_id, unnest(regexp_extract_all(text, '\\[.*?\\]\\((https?://[^\\s\\)\"]+)', 1)) AS link FROM (SELECT doc_id, text || ' [a](https://x.example/' || doc_id || ') [b](/r)' AS text FROM documents)", "md_links")(
     lambda s, d: _t(s, d, "documents").select("doc_id", F.explode(U.md_links(F.expr("concat(text, ' [a](https://x.example/', doc_id, ') [b](/r)')"))).alias("link"))
 )
-_SEEDS = "(SELECT url FROM pages WHERE page_id % 10 = 0)"
-_seeds = lambda s, d: _t(s, d, "pages").where("page_id % 10 = 0").select("url")
+#: Seeds, index and updates are told apart by the pages' languages.
+_PAGE_LANG = "substr(split_part(html, 'lang=\"', 2), 1, 2)"
+_in_lang = lambda s, d, *langs: _t(s, d, "pages").where(F.expr(_PAGE_LANG).isin(*langs))
+_SEEDS = f"(SELECT url FROM pages WHERE {_PAGE_LANG} = 'de')"
+_seeds = lambda s, d: _in_lang(s, d, "de").select("url")
 _CRAWL = f"""k AS (SELECT {_NORM.format('url')} AS u, any_value(url ORDER BY page_id) AS url, any_value(html ORDER BY page_id) AS html FROM pages GROUP BY 1),
  d0 AS (SELECT DISTINCT {_NORM.format('url')} AS url, 0 AS depth FROM {_SEEDS}),
- l AS (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href, u FROM k),
+ l AS (SELECT url, unnest({_CUT}) AS href, u FROM k),
  d1 AS (SELECT DISTINCT {_NORM.format(_ABS)} AS url, 1 AS depth FROM (SELECT l.url, href FROM l JOIN d0 ON l.u = d0.url)),
  c AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 WHERE url NOT IN (SELECT url FROM d0))"""
 query(f"WITH {_CRAWL} SELECT url, depth FROM c", "join_frontier_anti")(lambda s, d: O.crawl(_t(s, d, "pages"), _seeds(s, d), 1))
@@ -149,22 +161,28 @@ query(f"WITH {_CRAWL} SELECT depth, count(*) AS pages FROM c GROUP BY depth", "a
 query(f"SELECT DISTINCT {_NORM.format('url')} AS url FROM (SELECT url FROM pages UNION ALL SELECT url || '/' FROM pages)", "set_url_dedup")(
     lambda s, d: _t(s, d, "pages").select("url").unionByName(_t(s, d, "pages").select(F.concat("url", F.lit("/")).alias("url"))).select(U.url_normalize(_url()).alias("url")).distinct()
 )
-_INDEX = "(SELECT sha256(url) AS hash, url, page_id, CASE WHEN page_id % 3 = 0 THEN page_id % 4 END AS max_depth FROM pages WHERE page_id % 2 = 0)"
-_index = lambda s, d: _t(s, d, "pages").where("page_id % 2 = 0").select(F.sha2("url", 256).alias("hash"), "url", "page_id", F.expr("CASE WHEN page_id % 3 = 0 THEN page_id % 4 END").alias("max_depth"))
+_DEPTH = f"CASE {_PAGE_LANG} WHEN 'de' THEN 2 WHEN 'es' THEN 3 END"
+_INDEX = f"(SELECT sha256(url) AS hash, url, page_id, {_DEPTH} AS max_depth FROM pages WHERE {_PAGE_LANG} IN ('en', 'de', 'es'))"
+
+
+def _index(s, d):
+    return _in_lang(s, d, "en", "de", "es").select(F.sha2("url", 256).alias("hash"), "url", "page_id", F.expr(_DEPTH).alias("max_depth"))
+
+
 query(f"SELECT p.page_id, coalesce(i.max_depth, 0) AS depth FROM pages p LEFT JOIN {_INDEX} i ON i.url = p.url", "join_seed_lookup")(
     lambda s, d: _t(s, d, "pages").select("page_id", "url").join(_index(s, d).select("url", "max_depth"), "url", "left").select("page_id", F.coalesce("max_depth", F.lit(0)).cast("long").alias("depth"))
 )
-query(f"SELECT i.page_id, coalesce(u.new_depth, i.max_depth, 0) AS depth FROM {_INDEX} i LEFT JOIN (SELECT sha256(url) AS hash, 5 AS new_depth FROM pages WHERE page_id % 6 = 0) u ON u.hash = i.hash", "join_depth_update")(
-    lambda s, d: _index(s, d).join(_t(s, d, "pages").where("page_id % 6 = 0").select(F.sha2("url", 256).alias("hash"), F.lit(5).alias("new_depth")), "hash", "left").select("page_id", F.coalesce("new_depth", "max_depth", F.lit(0)).cast("long").alias("depth"))
+query(f"SELECT i.page_id, coalesce(u.new_depth, i.max_depth, 0) AS depth FROM {_INDEX} i LEFT JOIN (SELECT sha256(url) AS hash, 5 AS new_depth FROM pages WHERE {_PAGE_LANG} IN ('es', 'fr')) u ON u.hash = i.hash", "join_depth_update")(
+    lambda s, d: _index(s, d).join(_in_lang(s, d, "es", "fr").select(F.sha2("url", 256).alias("hash"), F.lit(5).alias("new_depth")), "hash", "left").select("page_id", F.coalesce("new_depth", "max_depth", F.lit(0)).cast("long").alias("depth"))
 )
-query(f"SELECT hash FROM {_INDEX} UNION ALL SELECT sha256(url) FROM pages WHERE page_id % 4 = 1", "set_union_index")(
-    lambda s, d: _index(s, d).select("hash").unionByName(_t(s, d, "pages").where("page_id % 4 = 1").select(F.sha2("url", 256).alias("hash")))
+query(f"SELECT hash FROM {_INDEX} UNION ALL SELECT sha256(url) FROM pages WHERE {_PAGE_LANG} = 'fr'", "set_union_index")(
+    lambda s, d: _index(s, d).select("hash").unionByName(_in_lang(s, d, "fr").select(F.sha2("url", 256).alias("hash")))
 )
 query(f"SELECT page_id FROM pages WHERE sha256(url) NOT IN (SELECT hash FROM {_INDEX})", "flt_incremental")(
     lambda s, d: _t(s, d, "pages").withColumn("hash", F.sha2("url", 256)).join(_index(s, d).select("hash"), "hash", "left_anti").select("page_id")
 )
 query("SELECT page_id, coalesce(lag(h) OVER (ORDER BY page_id) = h, false) AS delayed FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS h FROM pages)", "lag_domain")(
-    lambda s, d: _t(s, d, "pages").select("page_id", U.url_domain(_url()).alias("h")).select("page_id", F.coalesce(F.lag("h").over(Window.orderBy("page_id")) == F.col("h"), F.lit(False)).alias("delayed"))
+    lambda s, d: O.lag_equal(_t(s, d, "pages").select("page_id", U.url_domain(_url()).alias("h")), "page_id", "h").select("page_id", F.col("same").alias("delayed"))
 )
 
 
@@ -199,8 +217,17 @@ _qa_query("flt_category_other", "SELECT conv_id, turn FROM QA WHERE category IS
 _qa_query("flt_skip_trash", "SELECT conv_id, turn FROM QA WHERE category IS DISTINCT FROM 'Trash'", lambda q: q.where("NOT category <=> 'Trash'").select(*_KEY))
 _qa_query("flt_qa_blacklist", "SELECT conv_id, turn FROM QA WHERE NOT regexp_matches(question, '(?i)\\b(?:thent|of the)\\b') OR regexp_matches(question, '(?i)\\b(?:and)\\b')",
           lambda q: q.where(~F.col("question").rlike(T.any_of(("thent", "of the"), True)) | F.col("question").rlike(T.any_of(("and",), True))).select(*_KEY))
-_qa_query("flt_second_pass", "SELECT conv_id, turn, CASE WHEN length(answer) % 3 > 0 THEN 'relevant' ELSE 'irrelevant' END AS verdict FROM QA",
-          lambda q: q.select(*_KEY, F.when(F.char_length("answer") % 3 > 0, "relevant").otherwise("irrelevant").alias("verdict")))
+_SECOND = "SELECT conv_id, turn FROM (SELECT *, length('Is this relevant? ' || question || ' ' || answer) AS n FROM QA) WHERE "
+_by_length = lambda prompts: ["irrelevant" if len(p) % 3 == 0 else "relevant: yes" for p in prompts]  # noqa: E731  an offline provider
+
+
+def _second(q) -> tuple[DataFrame, DataFrame]:
+    rows = q.select(*_KEY, F.concat_ws("-", *_KEY).alias("k"), F.concat(F.lit("Is this relevant? "), "question", F.lit(" "), "answer").alias("prompt"))
+    return second_pass(rows, "prompt", "k", _by_length)
+
+
+_qa_query("flt_second_pass", _SECOND + "n % 3 > 0", lambda q: _second(q)[0].select(*_KEY))
+_qa_query("flt_second_pass_removed", _SECOND + "n % 3 = 0", lambda q: _second(q)[1].select(*_KEY))
 _qa_query("agg_category_counts", "SELECT category, count(*) AS n FROM QA WHERE category IS NOT NULL GROUP BY 1", lambda q: q.where("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n")))
 _PER = "(SELECT hash, count(*) AS n FROM QA WHERE category IS DISTINCT FROM 'Other' GROUP BY hash)"
 _per = lambda q: q.where("NOT category <=> 'Other'").groupBy("hash").agg(F.count("*").alias("n"))
@@ -213,8 +240,8 @@ _qa_query("agg_group_rows", "SELECT coalesce(CASE WHEN conv_id % 7 > 0 THEN hash
           lambda q: q.groupBy(F.coalesce(F.when(F.col("conv_id") % 7 > 0, F.col("hash")), F.concat_ws("-", F.lit("row"), "conv_id", "turn")).alias("k")).agg(F.count("*").alias("n")))
 _SPLIT = """(SELECT hash, CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.9) THEN 'valid' ELSE 'test' END AS split
  FROM (SELECT hash, row_number() OVER (ORDER BY sha256('42' || hash)) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT hash FROM QA)))"""
-for _n in ("split_80_10_10", "join_split_keys"):
-    _qa_query(_n, f"SELECT conv_id, turn, split FROM QA JOIN {_SPLIT} USING (hash)", lambda q: O.hash_split(q, "hash").select(*_KEY, "split"))
+_qa_query("split_80_10_10", f"SELECT hash, split FROM {_SPLIT}", lambda q: O.hash_split(q.select("hash").distinct(), "hash").select("hash", "split"))
+_qa_query("join_split_keys", f"SELECT conv_id, turn, split FROM QA JOIN {_SPLIT} USING (hash)", lambda q: O.hash_split(q, "hash").select(*_KEY, "split"))
 _qa_query("agg_split_shares", f"SELECT split, count(*) AS n, count(*) / (SELECT count(*) FROM QA) AS share FROM QA JOIN {_SPLIT} USING (hash) GROUP BY split",
           lambda q: O.hash_split(q, "hash").groupBy("split").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())))
 _qa_query("set_disjoint_check", f"SELECT count(*) AS shared FROM (SELECT hash FROM {_SPLIT} GROUP BY hash HAVING count(DISTINCT split) > 1)",
@@ -222,8 +249,8 @@ _qa_query("set_disjoint_check", f"SELECT count(*) AS shared FROM (SELECT hash FR
 query("SELECT doc_id, CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.9) THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('42' || doc_id)) - 1 AS r, count(*) OVER () AS n FROM documents)", "file_split")(
     lambda s, d: O.hash_split(_t(s, d, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
 )
-_qa_query("sample_per_category", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('42' || k)) AS r FROM (SELECT *, conv_id || '-' || turn AS k FROM QA)) WHERE r <= 5",
-          lambda q: O.sample_per_group(q.withColumn("k", F.concat_ws("-", "conv_id", "turn")), "category", "k", 5).select(*_KEY))
+_qa_query("sample_per_category", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('42' || k)) AS r FROM (SELECT *, conv_id || '-' || turn AS k FROM QA)) WHERE r <= 50",
+          lambda q: O.sample_per_group(q.withColumn("k", F.concat_ws("-", "conv_id", "turn")), "category", "k").select(*_KEY))
 _qa_query("chat_format", "SELECT conv_id, turn, 'system' || chr(10) || 'Be helpful.' || chr(10) || 'user' || chr(10) || question || ' /no_think' || chr(10) || 'assistant' || chr(10) || answer AS out FROM QA",
           lambda q: q.select(*_KEY, F.array_join(F.transform(C.messages("Be helpful.", F.col("question"), F.col("answer")), lambda m: F.concat_ws("\n", m["role"], m["content"])), "\n").alias("out")))
 _qa_query("strip_no_think", "SELECT conv_id, turn, question AS out FROM QA", lambda q: q.select(*_KEY, C.strip_no_think(F.concat("question", F.lit(" /no_think"))).alias("out")))
@@ -245,28 +272,47 @@ query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || CASE WH
     lambda s, d: _t(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("ms")).select("conv_id", C.template_render(F.col("ms"), generation_prompt=True).alias("out"))
 )
 
-# --- tokens: code points stand in for a tokeniser --------------------------------------------------------------------
-_IDS = "list_transform(string_split(substr(text, 1, 40), ''), lambda c: unicode(c))"
-_toks = lambda s, d: _t(s, d, "documents").select("doc_id", F.transform(F.split(F.substring("text", 1, 40), ""), lambda c: F.ascii(c)).alias("ids"))
-query(f"SELECT doc_id, {_IDS}[1:16] AS ids FROM documents", "tokenize_truncate")(lambda s, d: _toks(s, d).select("doc_id", F.slice("ids", 1, 16).alias("ids")))
-query(f"SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN i <= 10 THEN -100 ELSE x END) AS labels FROM (SELECT doc_id, {_IDS} AS ids FROM documents)", "label_mask")(lambda s, d: _toks(s, d).select("doc_id", C.label_mask(F.col("ids"), F.lit(10)).alias("labels")))
-_BATCH = "(SELECT doc_id, ids, doc_id // 4 AS batch, (ceil(max(len(ids)) OVER (PARTITION BY doc_id // 4) / 8) * 8)::INTEGER AS width FROM (SELECT doc_id, list_transform(string_split(substr(text, 1, (10 + doc_id % 30)::INTEGER), ''), lambda c: unicode(c)) AS ids FROM documents))"
+# --- tokens: code points of whole texts stand in for a tokeniser, so that SQL can follow; tokenize_bpe has a real one ------
+_LIMIT = 512  # fixed value: the training's longest example, in tokens
+_IDS = "list_transform(string_split(text, ''), lambda c: unicode(c))"
+_CUT_IDS = f"list_transform(string_split(substr(text, 1, {_LIMIT}), ''), lambda c: unicode(c))"
+_codes = lambda text: F.transform(F.split(text, ""), lambda c: F.ascii(c))
+_toks = lambda s, d: _t(s, d, "documents").select("doc_id", _codes(F.col("text")).alias("ids"))
+_cut_toks = lambda s, d: _t(s, d, "documents").select("doc_id", _codes(F.substring("text", 1, _LIMIT)).alias("ids"))
+query(f"SELECT doc_id, {_CUT_IDS} AS ids FROM documents", "tokenize_truncate")(lambda s, d: _toks(s, d).select("doc_id", F.slice("ids", 1, _LIMIT).alias("ids")))
+_MASKED = "list_transform({0}, lambda x, i: CASE WHEN i <= 10 THEN -100 ELSE x END)"
+query(f"SELECT doc_id, {_MASKED.format('ids')} AS labels FROM (SELECT doc_id, {_IDS} AS ids FROM documents)", "label_mask")(lambda s, d: _toks(s, d).select("doc_id", C.label_mask(F.col("ids"), F.lit(10)).alias("labels")))
+_BATCH = f"(SELECT doc_id, ids, doc_id // 4 AS batch, (ceil(max(len(ids)) OVER (PARTITION BY doc_id // 4) / 8) * 8)::INTEGER AS width FROM (SELECT doc_id, {_CUT_IDS} AS ids FROM documents))"
 
 
 def _batches(s, d):
-    rows = _t(s, d, "documents").select("doc_id", F.expr("transform(split(substring(text, 1, int(10 + doc_id % 30)), ''), c -> ascii(c))").alias("ids"))
+    rows = _cut_toks(s, d)
     rows = rows.withColumn("batch", F.floor(F.col("doc_id") / 4))
     return rows.withColumn("width", C.padded_length(F.max(F.size("ids")).over(Window.partitionBy("batch"))))
 
 
-query(f"SELECT doc_id, list_resize(ids, width, 0) AS ids FROM {_BATCH}", "pad_batch")(lambda s, d: _batches(s, d).select("doc_id", C.pad(F.col("ids"), F.col("width"), 0).alias("ids")))
+query(f"""SELECT doc_id, list_resize(ids, width, 0) AS ids, list_resize(list_transform(ids, lambda x: 1), width, 0) AS attention_mask,
+ list_resize({_MASKED.format('ids')}, width, -100) AS labels FROM {_BATCH}""", "pad_batch")(
+    lambda s, d: _batches(s, d).select("doc_id", C.pad(F.col("ids"), F.col("width"), 0).alias("ids"),
+        C.pad(F.transform("ids", lambda x: F.lit(1)), F.col("width"), 0).alias("attention_mask"),
+        C.pad(C.label_mask(F.col("ids"), F.lit(10)), F.col("width"), C.IGNORED).alias("labels"))
+)
 query(f"SELECT batch, max(width) AS width FROM {_BATCH} GROUP BY batch", "agg_max_len_batch")(lambda s, d: _batches(s, d).groupBy("batch").agg(F.max("width").alias("width")))
 query("SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) AS r FROM documents", "sort_seq_len")(
-    lambda s, d: _t(s, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")).withColumn("r", F.row_number().over(Window.orderBy("n", "doc_id")).cast("long"))
+    lambda s, d: O.global_rank(_t(s, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")), "n", "doc_id").withColumnRenamed("rank", "r")
 )
 _FLAT = f"(SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS p, id FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM (SELECT doc_id, list_append({_IDS}, 0) AS ids FROM documents)))"
-query(f"SELECT p // 512 AS block, list(id ORDER BY p) AS ids FROM {_FLAT} GROUP BY 1", "pack_blocks")(lambda s, d: O.pack_blocks(_toks(s, d), 512))
-query(f"SELECT count(DISTINCT p // 512) AS blocks, count(*) AS tokens FROM {_FLAT}", "agg_run_summary")(lambda s, d: O.pack_blocks(_toks(s, d), 512).agg(F.count("*").alias("blocks"), F.sum(F.size("ids")).alias("tokens")))
+query(f"SELECT p // 2048 AS block, list(id ORDER BY p) AS ids FROM {_FLAT} GROUP BY 1", "pack_blocks")(lambda s, d: O.pack_blocks(_toks(s, d)))
+query(f"SELECT count(DISTINCT p // 2048) AS blocks, count(*) AS tokens FROM {_FLAT}", "agg_run_summary")(lambda s, d: O.pack_blocks(_toks(s, d)).agg(F.count("*").alias("blocks"), F.sum(F.size("ids")).alias("tokens")))
+
+
+@query()
+def tokenize_bpe(s, d):
+    from ..functions.tokens import tokenize
+
+    return tokenize(_t(s, d, "documents"), "doc_id", "text")
+
+
 query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100", "limit_n")(lambda s, d: _t(s, d, "documents").select("doc_id").orderBy("doc_id").limit(100))
 
 # --- corpus statistics -----------------------------------------------------------------------------------------------
@@ -283,14 +329,17 @@ query(f"SELECT round(sum(strlen(text)) / 1048576, 6) AS raw_mb, round(sum(strlen
 # --- benchmark runs, from labels -------------------------------------------------------------------------------------
 _SCORES = "(SELECT doc_id, doc_id % 24 AS run, 'c' || doc_id % 5 AS category, CASE WHEN toxic = 1 THEN 0.0 WHEN quality = 1 THEN 1.0 ELSE 0.5 END AS score FROM labels)"
 _scores = lambda s, d: _t(s, d, "labels").select("doc_id", (F.col("doc_id") % 24).alias("run"), F.concat(F.lit("c"), F.col("doc_id") % 5).alias("category"), F.expr("CASE WHEN toxic = 1 THEN 0D WHEN quality = 1 THEN 1D ELSE 0.5D END").alias("score"))
-for _n in ("agg_bench_stats", "agg_answer_dist"):
-    query(f"""SELECT category, total, average, a AS full, b AS partial, c AS wrong, a / total * 100 AS full_pct, b / total * 100 AS partial_pct, c / total * 100 AS wrong_pct
- FROM (SELECT category, count(*) AS total, avg(score)::DOUBLE AS average, count(*) FILTER (score = 1) AS a, count(*) FILTER (score = 0.5) AS b, count(*) FILTER (score = 0) AS c FROM {_SCORES} GROUP BY ROLLUP (category))""", _n)(
-        lambda s, d: O.bench_stats(_scores(s, d)).drop("level")
-    )
+_STATS = f"""(SELECT category, count(*) AS total, avg(score)::DOUBLE AS average, count(*) FILTER (score = 1) AS a, count(*) FILTER (score = 0.5) AS b,
+ count(*) FILTER (score = 0) AS c FROM {_SCORES} GROUP BY ROLLUP (category))"""
+query(f"SELECT category, total, average, a AS full, b AS partial, c AS wrong FROM {_STATS}", "agg_bench_stats")(
+    lambda s, d: O.bench_stats(_scores(s, d)).select("category", "total", "average", "full", "partial", "wrong")
+)
+query(f"SELECT category, kind, n / total * 100 AS pct FROM (SELECT category, total, unnest(['full', 'partial', 'wrong']) AS kind, unnest([a, b, c]) AS n FROM {_STATS})", "agg_answer_dist")(
+    lambda s, d: O.bench_stats(_scores(s, d)).select("category", F.expr("stack(3, 'full', full_pct, 'partial', partial_pct, 'wrong', wrong_pct) AS (kind, pct)"))
+)
 query(f"SELECT DISTINCT category FROM {_SCORES}", "agg_categories_union")(lambda s, d: _scores(s, d).groupBy("run").agg(F.map_from_entries(F.collect_set(F.struct("category", F.lit(1)))).alias("m")).select(F.explode(F.map_keys("m")).alias("category")).distinct().orderBy("category"))
-query(f"SELECT r.run, c.category, coalesce(avg(s.score), 0)::DOUBLE AS average FROM (SELECT DISTINCT run FROM {_SCORES}) r CROSS JOIN (SELECT DISTINCT category FROM {_SCORES}) c LEFT JOIN (SELECT * FROM {_SCORES} WHERE run % 5 > 0) s ON s.run = r.run AND s.category = c.category GROUP BY ALL", "join_category_matrix")(
-    lambda s, d: _scores(s, d).select("run").distinct().crossJoin(_scores(s, d).select("category").distinct()).join(_scores(s, d).where("run % 5 > 0").groupBy("run", "category").agg(F.avg("score").alias("a")), ["run", "category"], "left").select("run", "category", F.coalesce("a", F.lit(0.0)).alias("average"))
+query(f"SELECT r.run, c.category, coalesce(avg(s.score), 0)::DOUBLE AS average FROM (SELECT DISTINCT run FROM {_SCORES}) r CROSS JOIN (SELECT DISTINCT category FROM {_SCORES}) c LEFT JOIN {_SCORES} s ON s.run = r.run AND s.category = c.category GROUP BY ALL", "join_category_matrix")(
+    lambda s, d: _scores(s, d).select("run").distinct().crossJoin(_scores(s, d).select("category").distinct()).join(_scores(s, d).groupBy("run", "category").agg(F.avg("score").alias("a")), ["run", "category"], "left").select("run", "category", F.coalesce("a", F.lit(0.0)).alias("average"))
 )
 _RUNS = f"(SELECT 'run' || run AS run_dir, CASE WHEN run % 7 > 0 THEN '2024-01-' || (10 + run % 9) END AS ts, CASE WHEN run % 2 = 0 THEN 'm-SFT' ELSE 'm' END AS model, round(avg(score), 1)::DOUBLE AS score FROM {_SCORES} GROUP BY run)"
 
@@ -304,10 +353,14 @@ def _runs(s, d):
 
 _IDX = f"(SELECT *, row_number() OVER (ORDER BY coalesce(ts, ''), run_dir) - 1 AS idx, count(*) OVER () AS n, contains(model, '-SFT') AS is_sft FROM {_RUNS})"
 _PICK = f"(SELECT *, row_number() OVER (PARTITION BY is_sft ORDER BY score DESC, idx) AS best FROM {_IDX} QUALIFY idx = 0 OR idx >= n - 2 OR best <= 5)"
-for _n in ("topk_selection", "group_reorder", "x_position", "is_sft"):
-    query(f"SELECT run_dir, model, score, is_sft, idx, CASE WHEN is_sft THEN count(*) FILTER (NOT is_sft) OVER () + 1.2 + row_number() OVER w - 1 ELSE row_number() OVER w - 1 END::DOUBLE AS x FROM {_PICK} WINDOW w AS (PARTITION BY is_sft ORDER BY idx)", _n)(
-        lambda s, d: O.topk_runs(_runs(s, d), 5)
-    )
+_picked = lambda s, d: O.topk_runs(_runs(s, d), 5)
+_X = "CASE WHEN is_sft THEN count(*) FILTER (NOT is_sft) OVER () + 1.2 + row_number() OVER w - 1 ELSE row_number() OVER w - 1 END::DOUBLE"
+query(f"SELECT run_dir, model, score FROM {_PICK}", "topk_selection")(lambda s, d: _picked(s, d).select("run_dir", "model", "score"))
+query(f"SELECT run_dir, row_number() OVER (ORDER BY is_sft, idx) AS place FROM {_PICK}", "group_reorder")(
+    lambda s, d: _picked(s, d).select("run_dir", F.row_number().over(Window.orderBy("is_sft", "idx")).alias("place"))
+)
+query(f"SELECT run_dir, {_X} AS x FROM {_PICK} WINDOW w AS (PARTITION BY is_sft ORDER BY idx)", "x_position")(lambda s, d: _picked(s, d).select("run_dir", "x"))
+query(f"SELECT run_dir, contains(model, '-SFT') AS is_sft FROM {_RUNS}", "is_sft")(lambda s, d: _runs(s, d).select("run_dir", F.contains("model", F.lit("-SFT")).alias("is_sft")))
 query(f"SELECT run_dir, idx FROM {_IDX}", "sort_chrono")(lambda s, d: _runs(s, d).select("run_dir", (F.row_number().over(Window.orderBy(F.coalesce("ts", F.lit("")), "run_dir")) - 1).alias("idx")))
 
 
@@ -322,6 +375,7 @@ _names = lambda s, d: _t(s, d, "labels").select("doc_id", F.expr("concat('base',
 query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN name ELSE 'y' END AS out FROM {_NAMES}", "display_name")(lambda s, d: _names(s, d).select("doc_id", display_name(F.col("name"), "base").alias("out")))
 query(f"SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN name END, 'run') || chr(10) || '(' || name || ')' AS out FROM {_NAMES}", "model_label")(lambda s, d: _names(s, d).select("doc_id", F.concat(F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("name")), F.lit("run")), F.lit("\n("), "name", F.lit(")")).alias("out")))
 
+# Fixed values below: the parts of names, and the iterations of an epoch, that runs are known by.
 # --- sweeps, packaging -----------------------------------------------------------------------------------------------
 _GRID = "(SELECT * FROM (VALUES ('m1'), ('m2')) b(tag) CROSS JOIN (VALUES ('1e-5'), ('5e-5'), ('1e-4')) l(lr) CROSS JOIN (VALUES (1), (2)) e(ep))"
 
@@ -373,3 +427,50 @@ def extract_triples(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
 query("SELECT doc_id AS key, 'd' || doc_id AS subject, 'is' AS relation, 'x' AS object FROM labels WHERE doc_id % 3 > 0", "triple_extract")(
     lambda s, d: extract_triples(_t(s, d, "labels").select(F.col("doc_id").alias("key"), F.expr("CASE WHEN doc_id % 3 > 0 THEN concat('[{\"subject\": \"d', doc_id, '\", \"relation\": \"is\", \"object\": \"x\"}]') ELSE 'oops' END").alias("reply")))[0]
 )
+
+# --- sources and sinks, written and read again -----------------------------------------------------------------------
+def _place(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _again(name: str, oracle: str, write, read) -> None:
+    def run(s, d):
+        path = _place(s, name)
+        write(s, d, path)
+        return read(s, path)
+
+    query(oracle, name)(run)
+
+
+_QNA = "(SELECT hash, question, answer, 'm' AS model, category FROM QA)".replace("QA", _QA)
+_qna = lambda s, d: _qa(s, d).select("hash", "question", "answer", F.lit("m").alias("model"), "category")
+_again("sink_jsonl", f"SELECT * FROM {_QNA}", lambda s, d, p: S.write_jsonl(_qna(s, d), p), lambda s, p: S.jsonl(s, p, strict=True).drop("user", "assistant"))
+_again("sink_jsonl_append", f"SELECT * FROM {_QNA} UNION ALL SELECT * FROM {_QNA}",
+       lambda s, d, p: [S.write_jsonl(_qna(s, d), p, True) for _ in range(2)], lambda s, p: S.jsonl(s, p).drop("user", "assistant"))
+_again("sink_md_file", "SELECT doc_id, text FROM documents", lambda s, d, p: S.write_keyed(_t(s, d, "documents").select("doc_id", "text"), p, "doc_id"), lambda s, p: s.read.parquet(p))
+_again("sink_html_cache", "SELECT md5(url) AS cache_key, CASE WHEN ends_with(url, '.pdf') THEN 'pdf' ELSE 'html' END AS kind, html AS body FROM pages",
+       lambda s, d, p: S.write_page_cache(_t(s, d, "pages").select("url", U.url_is_pdf(_url()).alias("is_pdf"), F.col("html").alias("body")), p), lambda s, p: s.read.parquet(p))
+_again("src_url_list", "SELECT url FROM pages WHERE url NOT LIKE '#%'", lambda s, d, p: _t(s, d, "pages").select(F.explode(F.array(F.concat(F.lit("  "), "url", F.lit(" ")), F.concat(F.lit("# "), "url"), F.lit("")))).write.text(p),
+       lambda s, p: S.url_list(s, p))
+_ENTRY = f"""(SELECT sha256(url) AS hash, sha256(url) || '.md' AS filename, url AS source_url, 0 AS depth, '2024-01-01' AS scraped_at, length(html)::BIGINT AS content_length,
+ {_PAGE_LANG} AS language_detected, CASE {_PAGE_LANG} WHEN 'de' THEN 2 END AS max_depth, false AS questions_generated FROM pages WHERE {_PAGE_LANG} IN LANGS)"""
+
+
+def _entries(s, d, *langs) -> DataFrame:
+    return _in_lang(s, d, *langs).select(
+        F.sha2("url", 256).alias("hash"), F.concat(F.sha2("url", 256), F.lit(".md")).alias("filename"), F.col("url").alias("source_url"), F.lit(0).alias("depth"),
+        F.lit("2024-01-01").alias("scraped_at"), F.char_length("html").cast("long").alias("content_length"), F.expr(_PAGE_LANG).alias("language_detected"),
+        F.expr(f"CASE {_PAGE_LANG} WHEN 'de' THEN 2 END").alias("max_depth"), F.lit(False).alias("questions_generated"),
+    )
+
+
+_again("sink_index", f"""SELECT * REPLACE (CASE WHEN language_detected IN ('es', 'fr') THEN 5 ELSE max_depth END AS max_depth)
+ FROM (SELECT DISTINCT ON (hash) * FROM {_ENTRY.replace('LANGS', "('de', 'es', 'fr')")})""",
+       lambda s, d, p: S.write_index(S.merged_index(_entries(s, d, "de", "es").dropDuplicates(["hash"]), _entries(s, d, "es", "fr"),
+           _in_lang(s, d, "es", "fr").select(F.concat("url", F.lit("?q=1")).alias("url"), F.lit(5).alias("max_depth"))), p),
+       lambda s, p: S.index_lines(s, p).drop("cleaning_status", "cleaning_reason"))
+_again("sink_metadata_json", "SELECT count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents",
+       lambda s, d, p: S.write_metadata(s, _t(s, d, "documents").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars")).first().asDict(), p),
+       lambda s, p: s.createDataFrame([S.read_metadata(s, p)], "documents long, chars long"))

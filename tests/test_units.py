@@ -119,3 +119,105 @@ def test_stream(spark, tmp_path):
     q = clean_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "doc_id long, text string")
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["cleaning_status"] == "kept"
+
+
+def test_html_text_after_an_open_head():
+    from corpusmill.functions.html import markdown_of
+
+    assert markdown_of("<html><head><title>x</title><body><p>hello <b>you</b>") == "hello **you**"
+    page = "<head><title>t</title><style>a{}</style></head><body><h2>Head</h2><p>One <a href='/u'>link</a>.</p><script>x()</script><ol><li>a<li>b</ol></body>"
+    assert markdown_of(page) == "## Head\n\nOne [link](/u).\n\n  1. a\n  2. b"
+
+
+def test_links_like_a_parser(spark):
+    from html.parser import HTMLParser
+
+    html = """<a href="/1">x</a><A HREF='/2?a=1&amp;b=2'>y</A><a href=/3>z</a><a class="k" href = "/4">w</a><a data-href="/no">n</a>
+    <abbr href="/no2">q</abbr><a title=" href=/no3 " href="/5">t</a><a name="n">m</a><a\nhref="/6"\n>l</a>"""
+
+    class Anchors(HTMLParser):
+        found = ()
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and dict(attrs).get("href") is not None:
+                self.found = (*self.found, dict(attrs)["href"])
+
+    parser = Anchors()
+    parser.feed(html)
+    got = spark.createDataFrame([(html,)], "html string").select(U.html_links(F.col("html"))).first()[0]
+    assert got == list(parser.found) and len(got) == 6
+
+
+def test_links_resolve_like_urljoin(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.example/x/y/z.html?q=1#f", "https://a.example/x/y/", "https://a.example", "http://a.example/p"]
+    links = ["../q", "./q", "../../../q", "q/../r/./s", "/m/../n", "..", ".", "../", "?k=2", "#g", "", "//b.example/t", "https://c.example/u/../v", "mailto:x@y.example", "a/b?x=../y"]
+    rows = [(b, h) for b in bases for h in links]
+    got = spark.createDataFrame(rows, "b string, h string").select("b", "h", U.url_absolute(F.col("b"), F.col("h")).alias("u")).collect()
+    assert [(b, h, u, urljoin(b, h)) for b, h, u in got if u != urljoin(b, h)] == []
+
+
+def test_top_level_yaml_scalars():
+    text = "a:\n  b: 1\nb: 2  \nc:\nb: 4\n"
+    assert P.yaml_scalar_replace(text, "b", "3") == "a:\n  b: 1\nb: 3\nc:\nb: 4\n"
+    assert P.yaml_scalar_replace(text, "c", "x") == "a:\n  b: 1\nb: 2  \nc: x\nb: 4\n"
+    with pytest.raises(KeyError):
+        P.yaml_scalar_replace("a:\n  b: 1\n", "b", "3")
+
+
+def test_template_with_tool_calls_and_reasoning(spark):
+    kind = "array<struct<role:string,content:string,reasoning_content:string,tool_calls:array<struct<name:string,arguments:string>>>>"
+    calls = [("f", '{"x": 1}'), ("g", "{}")]
+    ms = [("user", "hi", None, None), ("assistant", "\nlook", "think", calls), ("tool", "r", None, None), ("assistant", "", None, calls[:1]), ("user", "ok", None, None), ("assistant", "bye", "", [])]
+    text = spark.createDataFrame([(ms,)], f"ms {kind}").select(C.template_render(F.col("ms"), fields=("reasoning_content", "tool_calls"))).first()[0]
+    call = lambda n, a: f'<tool_call>\n{{"name": "{n}", "arguments": {a}}}\n</tool_call>'
+    assert text == (
+        "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n\nlook\n" + call(*calls[0]) + "\n" + call(*calls[1]) + "<|im_end|>\n"
+        "<|im_start|>user\n<tool_response>\nr\n</tool_response><|im_end|>\n<|im_start|>assistant\n" + call(*calls[0]) + "<|im_end|>\n"
+        "<|im_start|>user\nok<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\nbye<|im_end|>\n"
+    )
+
+
+def test_second_pass_and_pdf(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "ccc")], "k long, p string")
+    kept, removed = P.second_pass(rows, "p", "k", lambda ps: ["Irrelevant." if len(p) == 2 else "broken {" for p in ps])
+    assert {r["k"] for r in kept.collect()} == {1, 3} and [(r["k"], r["reply"]) for r in removed.collect()] == [(2, "Irrelevant.")]
+    files = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"bad")), ("c", None)], "path string, content binary")
+    got = P.pdf_to_markdown(files, lambda data: "# " + data.decode() if data == b"x" else 1 / 0).collect()
+    assert [tuple(r) for r in got] == [("a", "# x")]
+
+
+def test_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from corpusmill.functions.tokens import tokenize
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two  three", None, "ü " * 700, ""]
+    got = {r["k"]: r for r in tokenize(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", "text").collect()}
+    for k, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids[:512]
+        assert got[k]["input_ids"] == ids and got[k]["attention_mask"] == [1] * len(ids) and got[k]["seq_len"] == len(ids)
+
+
+def test_ranges_agree_with_one_window(spark):
+    rows = [(i, "ab"[i // 7 % 2], 5 if i % 3 else i % 11) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, h string, n long")
+    same = {r["id"]: r["same"] for r in O.lag_equal(df, "id", "h", 9).collect()}
+    assert same == {i: i > 0 and rows[i - 1][1] == h for i, h, _ in rows}
+    rank = {r["id"]: r["rank"] for r in O.global_rank(df, "n", "id", 9).collect()}
+    assert rank == {i: k + 1 for k, (_, i) in enumerate(sorted((n, i) for i, _, n in rows))}
+    blocks = {r["block"]: r["ids"] for r in O.pack_blocks(df.select(F.col("id").alias("doc_id"), F.expr("transform(sequence(1, int(id % 40)), x -> int(id))").alias("ids")), 64).collect()}
+    flat = [x for i in range(400) for x in [*[i] * (i % 40 or 2), 0]]  # a sequence from 1 to 0 has two values
+    assert blocks == {b: flat[64 * b : 64 * b + 64] for b in range(-(-len(flat) // 64))}
+
+
+def test_model_dirs(spark, tmp_path):
+    from corpusmill import sources as S
+
+    for name, file in (("m-hpo_1", "w.safetensors"), ("m-hpo_2", "notes.txt"), ("plain", "w.safetensors"), ("a-hpo_0", "w.safetensors")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / file).write_text("x")
+    assert [r["name"] for r in S.model_dirs(spark, str(tmp_path), "-hpo_").collect()] == ["a-hpo_0", "m-hpo_1"]

@@ -21,7 +21,6 @@ prediction is left out.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -102,30 +101,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 12)
     return w
 
 
-def choose_features(found: list[set[str]], y: np.ndarray, most: int = FEATURES) -> list[str]:
+def numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """All features of the texts, and the numbers of each text's own."""
+    place: dict[str, int] = {}
+    found = [np.fromiter((place.setdefault(f, len(place)) for f in features_of(t)), dtype=np.int32) for t in texts]
+    return list(place), found
+
+
+def choose_features(names: list[str], found: list[np.ndarray], y: np.ndarray, most: int = FEATURES) -> list[int]:
     """The features of at least 5 documents with the largest z-score of the difference in share."""
-    counts, ones = Counter(), Counter()
-    for own, label in zip(found, y):
-        counts.update(own)
-        if label:
-            ones.update(own)
     n1 = int(y.sum())
     n0 = len(y) - n1
     if not n1 or not n0:
         return []
-    z = []
-    for f, c in counts.items():
-        if c >= 5:
-            a, p = ones[f], (c + 1) / (n0 + n1 + 2)
-            z.append((abs(a / n1 - (c - a) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), f))
-    return [f for score, f in sorted(z, key=lambda t: (-t[0], t[1]))[:most] if score >= LEAST_Z]
-
-
-def presence(found: list[set[str]], names: list[str]) -> np.ndarray:
-    place = {f: i for i, f in enumerate(names)}
-    out = np.zeros((len(found), len(names)))
+    of = lambda some: np.bincount(np.concatenate([np.empty(0, np.int32), *some]).astype(np.int64), minlength=len(names))
+    counts, ones = of(found), of([f for f, label in zip(found, y) if label])
+    share = (counts + 1) / (n0 + n1 + 2)
+    z = np.abs(ones / n1 - (counts - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    usable = np.flatnonzero((counts >= 5) & (z >= LEAST_Z)).tolist()
+    return sorted(usable, key=lambda f: (-z[f], names[f]))[:most]
+
+
+def presence(found: list[np.ndarray], chosen: list[int], total: int) -> np.ndarray:
+    place = np.full(total, -1)
+    place[chosen] = np.arange(len(chosen))
+    out = np.zeros((len(found), len(chosen)))
     for row, own in zip(out, found):
-        row[[place[f] for f in own if f in place]] = 1.0
+        at = place[own]
+        row[at[at >= 0]] = 1.0
     return out
 
 
@@ -146,29 +149,29 @@ def choose_threshold(p: np.ndarray, y: np.ndarray, missed: float = MISSED) -> fl
 
 
 def fit(texts: list[str], ys: np.ndarray, folds: np.ndarray, categories: list[str]) -> Chain:
-    found = [features_of(t) for t in texts]
+    names, found = numbered(texts)
+    shown = lambda some, chosen: presence(some, chosen, len(names))
     earlier = np.empty((len(texts), 0))
     models, thresholds = [], []
     for y in ys.T:
         unseen = np.empty(len(y))
         for fold in np.unique(folds):
             out = folds == fold
-            seen = [f for f, o in zip(found, out) if not o]
-            names = choose_features(seen, y[~out])
-            w = logistic(np.hstack([presence(seen, names), earlier[~out]]), y[~out])
-            held = [f for f, o in zip(found, out) if o]
-            unseen[out] = probability(np.hstack([presence(held, names), earlier[out]]), w)
+            seen, held = ([f for f, o in zip(found, out) if o == side] for side in (False, True))
+            chosen = choose_features(names, seen, y[~out])
+            w = logistic(np.hstack([shown(seen, chosen), earlier[~out]]), y[~out])
+            unseen[out] = probability(np.hstack([shown(held, chosen), earlier[out]]), w)
         thresholds.append(choose_threshold(unseen, y))
-        names = choose_features(found, y)
-        models.append((names, logistic(np.hstack([presence(found, names), earlier]), y)))
+        chosen = choose_features(names, found, y)
+        models.append(([names[f] for f in chosen], logistic(np.hstack([shown(found, chosen), earlier]), y)))
         earlier = np.hstack([earlier, unseen[:, None]])
     # one table of features for all models
-    place = {f: i for i, f in enumerate(dict.fromkeys(f for names, _ in models for f in names))}
+    place = {f: i for i, f in enumerate(dict.fromkeys(f for own, _ in models for f in own))}
     weights = []
-    for k, (names, w) in enumerate(models):
+    for k, (own, w) in enumerate(models):
         full = np.zeros(len(place) + k + 1)
-        full[[place[f] for f in names]] = w[: len(names)]
-        full[len(place) :] = w[len(names) :]
+        full[[place[f] for f in own]] = w[: len(own)]
+        full[len(place) :] = w[len(own) :]
         weights.append(full)
     return Chain(categories, place, weights, thresholds)
 

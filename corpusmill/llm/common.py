@@ -121,8 +121,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternates the large-star and small-star steps; each is one aggregation with map-side combine and one join, so a
     hub with very many links is split by the skew join and never gathered in one row.  The lineage is cut after each
-    round, and only a count and a checksum reach the driver.  Each round at least halves what is left, so that the limit
-    of rounds is out of reach; it raises.
+    round, and only a count and a checksum reach the driver.  The rounds grow with the square of the logarithm of the ids at
+    most, a few in practice; if ``max_rounds`` are not enough it raises.
     """
     cur = materialize(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()

@@ -590,8 +590,53 @@ def test_pipeline(spark, sf_dir, edge, none):
         assert out.columns == cp.COLUMNS
         docs = spark.createDataFrame(out.collect(), out.schema)
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert all(root == i for i, (_, root) in brute_components(texts[:80]).items())
+    assert all(root == i for i, (_, root) in brute_components(texts).items())
     mixed = cp.mix(spark, docs, sf_dir)
     assert mixed.columns == cp.COLUMNS and {r[0] for r in mixed.select("doc_id").collect()} <= {i for i, _ in texts}
     for _, stage in cp.STAGES:
         assert stage(spark, edge, sf_dir).count() > 0 and stage(spark, none, sf_dir).count() == 0
+
+
+def test_pipeline_run_against_plain_steps(spark, sf_dir):
+    """Rows of ``run``: the documents kept, their copies and their tokens, worked out one by one."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+    import public_tokenizers
+
+    spark.conf.set(pii.KEY_SETTING, "a key of the tests")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = cp.run(spark, sf_dir).collect()
+    named = {r["doc_id"]: r for r in langid.identify(docs, keep=cp.COLUMNS).collect()}
+    kept = {i: r for i, r in named.items() if r["lang_pred"] != "und" and r["score"] >= cp.LEAST_SCORE}
+    roots = brute_components([(i, r["text"]) for i, r in kept.items()])
+    kept = {i: r for i, r in kept.items() if roots[i][1] == i}
+    counts = {}
+    for r in kept.values():
+        counts[r["source"]] = counts.get(r["source"], 0) + 1
+    listed = {x: n for x, n in counts.items() if x in mixing.WEIGHTS}
+    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs.select("doc_id", "text"), pii.session_key(spark)).collect()}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for i, r in kept.items():
+        rate = sum(listed.values()) / len(listed) / listed[r["source"]] if r["source"] in listed else 1.0
+        u = int(hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        copies, term = 0, math.exp(-rate)
+        total = term
+        while total <= u:
+            copies += 1
+            term *= rate / copies
+            total += term
+        if copies:
+            pieces[i] = copies, len(tok.encode(texts[i], add_special_tokens=False).ids) + 1
+    lengths = {}
+    for r in got:
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    assert lengths == {i: copies * n for i, (copies, n) in pieces.items()}
+    spans = {}
+    for r in got:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in spans.values():
+        ends = [a + b for a, b in sorted(own)]
+        assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= packing.CAPACITY
+    spark.conf.unset(pii.KEY_SETTING)

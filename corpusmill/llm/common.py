@@ -63,8 +63,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """One 64-bit hash a word."""
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -72,11 +71,27 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(h))
     if k == 0:
         return np.empty(0, dtype=np.uint64)
+    return run_hashes(h, k)
+
+
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, at least one: polynomials in the words' hashes, put together by doubling."""
     n = len(h) - k + 1
-    out = np.full(n, np.uint64(k), dtype=np.uint64)
-    for j in range(k):
-        out = mix64(out * _GOLD + h[j : j + n])
-    return out
+    out, have, size, done = None, h, 1, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if k & size:
+                piece = have[done : done + n]
+                out = piece + np.uint64(k) if out is None else out * _power(size) + piece
+                done += size
+            if done == k:
+                return mix64(out)
+            have = have[: len(have) - size] * _power(size) + have[size:]
+            size *= 2
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_GOLD), n, 1 << 64))
 
 
 def one_text_an_id(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,30 @@ def shingles(docs: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("doc_id", F.explode(F.array_distinct(grams)).alias("shingle"))
 
 
+def _bands(permutations: int, rows: int):
+    """Function of a column of hash sets giving a key a band, in Arrow batches."""
+    rng = random.Random(permutations)
+    orders = np.array([rng.getrandbits(64) for _ in range(permutations)], dtype=np.uint64)[:, None]
+
+    def keys(sets: pd.Series) -> pd.Series:
+        out = []
+        for s in sets:
+            values, least = np.asarray(s).astype(np.int64).view(np.uint64), np.full(permutations, np.iinfo(np.uint64).max)
+            for at in range(0, len(values), 4096):
+                # xor with a constant orders all hashes anew, so the smallest is a sample of the set like any min-hash
+                least = np.minimum(least, (values[None, at : at + 4096] ^ orders).min(axis=1))
+            mixed, factor = np.arange(permutations // rows, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
+            for r in range(rows):
+                mixed = (mixed ^ least[r::rows]) * factor
+                mixed = mixed ^ (mixed >> np.uint64(29))
+            out.append(mixed.view(np.int64))
+        return pd.Series(out)
+
+    return F.pandas_udf(keys, "array<long>")
+
+
 def minhash_pairs(docs: DataFrame, threshold: float = 0.85, permutations: int = 128, rows: int = 4, k: int = 5) -> DataFrame:
-    """(a, b, jaccard) at the threshold.  Shingles stay in arrays, so nothing is shuffled but band keys; texts with equal sets
+    """(a, b, jaccard) at the threshold.  Shingles stay in arrays and signatures are made in Arrow batches, so only band keys are shuffled; texts with equal sets
     meet once, by a digest, and their copies are joined on at the end; candidates are verified exactly."""
     words = F.filter(F.split("text", r"[ \t\n\f\r]+"), lambda w: w != "")
     grams = F.transform(F.sequence(F.lit(1), F.col("n") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
@@ -58,10 +82,7 @@ def minhash_pairs(docs: DataFrame, threshold: float = 0.85, permutations: int =
     reps = members.groupBy("d", "d2").agg(F.min("doc_id").alias("rep"))
     members = members.join(reps, ["d", "d2"]).select("rep", "doc_id")
     one = sets.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    # xor with a constant orders all hashes anew, so the smallest is a sample of the set like any min-hash
-    rng = random.Random(permutations)
-    least = [F.array_min(F.transform("s", lambda h, c=c: h.bitwiseXOR(F.lit(c)))) for c in (rng.getrandbits(64) - (1 << 63) for _ in range(permutations))]
-    bands = F.array(*(F.xxhash64(F.lit(b), *least[b * rows : (b + 1) * rows]) for b in range(permutations // rows)))
+    bands = _bands(permutations, rows)(F.col("s"))
     keys = one.select("doc_id", F.explode(bands).alias("band"))
     left, right = keys.toDF("a", "band"), keys.toDF("b", "band")
     pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()

@@ -71,7 +71,11 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(h))
     if k == 0:
         return np.empty(0, dtype=np.uint64)
-    return run_hashes(h, k)
+    n = len(h) - k + 1
+    out = np.full(n, np.uint64(k), dtype=np.uint64)
+    for j in range(k):
+        out = mix64(out * _GOLD + h[j : j + n])
+    return out
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -640,3 +640,45 @@ def test_pipeline_run_against_plain_steps(spark, sf_dir):
         ends = [a + b for a, b in sorted(own)]
         assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= packing.CAPACITY
     spark.conf.unset(pii.KEY_SETTING)
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_passages_whose_seeds_have_other_anchors(spark, copies):
+    """Two documents share a fuzzy passage each of whose equal runs an earlier document has too, seldom or often."""
+    passage = text("scatter", 100).split()
+    other = [w if (i + 1) % 20 else f"new{i}" for i, w in enumerate(passage)]
+    runs = [" ".join(passage[i : i + 19]) for i in range(0, 100, 20)]
+    rows = [(100 * k + c, text(f"x{k}/{c}", 50) + " " + run + " " + text(f"y{k}/{c}", 50)) for k, run in enumerate(runs) for c in range(copies)]
+    rows += [(1000, text("a", 60) + " " + " ".join(passage)), (2000, " ".join(other) + " " + text("b", 60))]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["start_word"], r["end_word"]) for r in got if (r["doc_id"], r["match_doc_id"]) == (2000, 1000)] == [(0, 99)]
+
+
+def test_links_span_all_passages():
+    """Classes of contexts by the spanning links against those by all pairs, one pair at a time."""
+    rng = np.random.default_rng(5)
+    width = 2 * chaining.REACH + chaining.K
+    kinds = rng.integers(1, 255, (4, width), dtype=np.uint8)
+    words = np.where(rng.random((120, width)) < 0.12, rng.integers(1, 255, (120, width), dtype=np.uint8), kinds[rng.integers(0, 4, 120)])
+    words[:, chaining.REACH : chaining.REACH + chaining.K] = 7
+    words[:20, :50] = 0
+    doc = np.sort(rng.integers(0, 100, 120))
+    later, earlier = chaining.linked(words, doc)
+    assert (doc[later] > doc[earlier]).all()
+    whole, spanned = list(range(120)), list(range(120))
+
+    def join(label, i, j):
+        if label[i] != label[j]:
+            label[:] = [label[i] if x == label[j] else x for x in label]
+
+    for j in range(120):
+        for i in range(j):
+            a, b = (np.where(words[k] == 0, 1000 + k, words[k].astype(int)) for k in (i, j))
+            at = chaining.REACH
+            before, after = chaining._extension(a[:at][::-1], b[:at][::-1])[0], chaining._extension(a[at + chaining.K :], b[at + chaining.K :])[0]
+            size, agree = (chaining.K + before[k] + after[k] for k in (0, 1))
+            if doc[i] != doc[j] and size >= chaining.MIN_WORDS and agree >= chaining.MIN_IDENTITY * size:
+                join(whole, i, j)
+    for j, i in zip(later.tolist(), earlier.tolist()):
+        join(spanned, i, j)
+    assert all((whole[i] == whole[j]) == (spanned[i] == spanned[j]) for i in range(120) for j in range(i)) and len(set(whole)) >= 4

@@ -682,3 +682,44 @@ def test_links_span_all_passages():
     for j, i in zip(later.tolist(), earlier.tolist()):
         join(spanned, i, j)
     assert all((whole[i] == whole[j]) == (spanned[i] == spanned[j]) for i in range(120) for j in range(i)) and len(set(whole)) >= 4
+
+
+def test_links_within_repeated_words(monkeypatch):
+    """Every passage at a seed that repeats at once is on the diagonal of one that the links span, with few pairs compared."""
+    rng, rows, asked = np.random.default_rng(11), [], []
+    for d in range(12):
+        lone = "the " if d % 2 else "of the "
+        own = [text(f"stutter{d}/{i}", 40) for i in range(2)]
+        rows.append(f"{own[0]} {lone * int(rng.integers(20, 60))}{text(f'tail{d % 3}', 45)} {own[1]}".split())
+    seeds = {}
+    for d, words in enumerate(rows):
+        h = chaining.word_hashes([w.encode() for w in words])
+        g = chaining.run_hashes(h, chaining.K)
+        p = np.unique(chaining.window_minima(g))
+        for seed, at, t, w in zip(g[p].tolist(), p.tolist(), chaining._lags(g[p], p).tolist(), chaining._around(h, p)):
+            seeds.setdefault(seed, []).append((d, at, t, w))
+    compared = chaining._passage
+    monkeypatch.setattr(chaining, "_passage", lambda planes, i, j: asked.append(len(i)) or compared(planes, i, j))
+    total = 0
+    for found in seeds.values():
+        doc, at, lag = (np.array([x[k] for x in found]) for k in range(3))
+        words = np.stack([x[3] for x in found])
+        place = {(d, p): k for k, (d, p) in enumerate(zip(doc.tolist(), at.tolist()))}
+        alike = {}
+        root = [alike.setdefault(w.tobytes(), k) for k, w in enumerate(words)]
+        for j, i in zip(*(x.tolist() for x in chaining.linked(words, doc, lag))):
+            assert doc[j] > doc[i]
+            root = [root[i] if x == root[j] else x for x in root]
+        for j in range(len(doc)):
+            for i in range(j):
+                total += 1
+                a, b = (np.where(words[k] == 0, 1000 + k, words[k].astype(int)) for k in (i, j))
+                mid = chaining.REACH
+                sides = chaining._extension(a[:mid][::-1], b[:mid][::-1])[0], chaining._extension(a[mid + chaining.K :], b[mid + chaining.K :])[0]
+                size, agree = (chaining.K + sides[0][k] + sides[1][k] for k in (0, 1))
+                if doc[i] != doc[j] and size >= chaining.MIN_WORDS and agree >= chaining.MIN_IDENTITY * size:
+                    x, y = i, j
+                    while lag[x] and lag[x] == lag[y]:
+                        x, y = place[doc[x], at[x] - lag[x]], place[doc[y], at[y] - lag[y]]
+                    assert root[x] == root[y]
+    assert sum(asked) * 10 < total

@@ -3,6 +3,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from itertools import combinations
 
@@ -723,3 +724,20 @@ def test_links_within_repeated_words(monkeypatch):
                         x, y = place[doc[x], at[x] - lag[x]], place[doc[y], at[y] - lag[y]]
                     assert root[x] == root[y]
     assert sum(asked) * 10 < total
+
+
+def test_near_dedup_frees_its_shuffles(spark, sf_dir):
+    """No shuffle file behind a checkpoint outlives it; before, all stayed until the driver collected its garbage."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return set(re.findall(r"shuffle_\d+_\S+", manager.getAllFiles().mkString("\n")))
+
+    before = files()
+    found = minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    end = time.time() + 20
+    while files() - before and time.time() < end:  # removed in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert found.count() == 200
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

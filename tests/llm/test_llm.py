@@ -726,6 +726,57 @@ def test_links_within_repeated_words(monkeypatch):
     assert sum(asked) * 10 < total
 
 
+def test_chains_are_aligned_at_once(monkeypatch):
+    """The alignment of many chains against one chain and one extension at a time; none is extended by itself."""
+    rng, pairs, expected = np.random.default_rng(17), [], []
+    for k in range(80):
+        a = rng.integers(0, 5000, int(rng.integers(20, 300 if k % 4 else 3000))).astype(np.uint16)
+        b = np.concatenate([a[: len(a) // 2], rng.integers(0, 5000, k % 4).astype(np.uint16), a[len(a) // 2 :]])
+        b[rng.random(len(b)) < (k % 7) / 20] = 9999
+        ps = [sorted(rng.integers(0, len(a) - chaining.K + 1, n).tolist()) for n in (1, 2, 3, 5)]
+        qs = [[x if x < len(a) // 2 else min(x + k % 4, len(b) - chaining.K) for x in p] for p in ps]
+        ps.append([0, len(a) - chaining.K + 1])  # a second point that is no whole seed
+        qs.append([0, len(a) - chaining.K + 1])
+        pairs.append((a.tobytes(), b.tobytes(), ps, qs))
+        found = set()
+        for p, q in zip(ps, qs):
+            at, bt, agree = p[0], q[0], 0
+            stop, other_stop = min(p[-1] + chaining.K, len(a)), min(q[-1] + chaining.K, len(b))
+            for x, y in zip(p, q):
+                x, y = max(x, at), max(y, bt)
+                if x - at == y - bt:
+                    agree += sum(map(int.__eq__, a[at:x].tolist(), b[bt:y].tolist()))
+                else:
+                    row = [0] * (y - bt + 1)
+                    for v in a[at:x].tolist():
+                        last, row = row, [0]
+                        for j, w in enumerate(b[bt:y].tolist()):
+                            row.append(last[j] + 1 if v == w else max(row[j], last[j + 1]))
+                    agree += row[-1]
+                at, bt = x, y
+            if stop - at == other_stop - bt:
+                agree += int((a[at:stop] == b[bt:other_stop]).sum())
+            before = chaining._extension(a[: p[0]][::-1], b[: q[0]][::-1])[0]
+            after = chaining._extension(a[stop:], b[other_stop:])[0]
+            start, other, stop, other_stop = p[0] - before[0], q[0] - before[0], stop + after[0], other_stop + after[0]
+            found.add((start, stop, other, other_stop, (agree + before[1] + after[1]) / max(stop - start, other_stop - other)))
+        expected.append(found)
+    monkeypatch.setattr(chaining, "_extension", None)
+    assert chaining.align([*pairs, (b"", b"", [], [])]) == [*expected, set()]
+
+
+def test_window_minima_of_long_texts():
+    """Smallest by the leading bits, the rightmost among equals, also where a text is cut into stretches."""
+    h = np.random.default_rng(19).integers(0, 1 << 63, 9000).astype(np.uint64)
+    h[::13] = h[0]
+    h[4000:5000] = h[1]
+    h[200:220] = h[200] & ~np.uint64(1) | np.arange(20, dtype=np.uint64) % np.uint64(2)
+    for n in (0, 1, 9, 10, 11, 300, 4087, 4088, 4096, 4097, 9000):
+        part = [x >> chaining.LOW for x in h[:n].tolist()]
+        size = min(n, chaining.WINDOW)
+        assert chaining.window_minima(h[:n]).tolist() == [min(range(s, s + size), key=lambda i: (part[i], -i)) for s in range(n - size + 1) if n]
+
+
 def test_near_dedup_frees_its_shuffles(spark, sf_dir):
     """No shuffle file behind a checkpoint outlives it; before, all stayed until the driver collected its garbage."""
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
